@@ -35,7 +35,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.shipments(spark, sf_dir)
 
 
-def cleaned(spark: SparkSession, sf_dir: str, persist: bool = False) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
     return _memo(spark, sf_dir, "clean", lambda: clean_shipments(raw(spark, sf_dir))[0], persist)
 
 
@@ -43,7 +43,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_shipments(raw(spark, sf_dir))[1]
 
 
-def enriched(spark: SparkSession, sf_dir: str, persist: bool = False) -> DataFrame:
+def enriched(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
     return _memo(spark, sf_dir, "enriched", lambda: engineer_features(cleaned(spark, sf_dir)), persist)
 
 
