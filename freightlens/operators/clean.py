@@ -107,7 +107,7 @@ def quality_log(raw: DataFrame, staged: DataFrame) -> DataFrame:
         F.count_if("_bad_wait").alias("bad_wait"),
     )
     # Both sides are single-row global aggregates.
-    return before.crossJoin(after).selectExpr(
+    return before.crossJoin(F.broadcast(after)).selectExpr(
         "stack(5, "
         "'dedupe_bookings', 'rows_removed', raw_rows - clean_rows, "
         "'impute_vehicle_type', 'imputed_count', imputed, "

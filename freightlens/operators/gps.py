@@ -55,7 +55,7 @@ def snapshot_summary(enriched: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .agg(F.median("n").alias("median_pings_per_booking"))
     )
-    return base.crossJoin(med).withColumn("tracking_recommendation", F.lit(TRACKING_RECOMMENDATION))
+    return base.crossJoin(F.broadcast(med)).withColumn("tracking_recommendation", F.lit(TRACKING_RECOMMENDATION))
 
 
 def moving_idle_split(segments: DataFrame, booking_col: str = "booking_id") -> DataFrame:

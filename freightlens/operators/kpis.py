@@ -277,7 +277,7 @@ def supplier_score(df: DataFrame, min_n: int = 15, cost_col: str | None = None)
     total_w = sum(w for _, w, _ in terms)
     bounds = s.agg(*[F.min(c).alias(f"_min_{c}") for c, _, _ in terms],
                    *[F.max(c).alias(f"_max_{c}") for c, _, _ in terms])
-    s = s.crossJoin(bounds)  # one-row aggregate
+    s = s.crossJoin(F.broadcast(bounds))  # one-row aggregate
     score = F.lit(0.0)
     for c, w, lower_better in terms:
         lo, hi = F.col(f"_min_{c}"), F.col(f"_max_{c}")

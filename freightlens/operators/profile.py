@@ -52,7 +52,7 @@ def profile_counts(df: DataFrame) -> DataFrame:
         F.date_format(F.max("booking_date"), "yyyy-MM-dd HH:mm:ss").alias("booking_max"),
     )
     med = pings_per_booking(df).agg(F.median("pings").alias("median_pings_per_booking"))
-    out = base.crossJoin(med)  # two single-row aggregates
+    out = base.crossJoin(F.broadcast(med))  # two single-row aggregates
     return out.withColumn(
         "gps_tracking_mode",
         F.when(F.col("median_pings_per_booking") <= 1.5, "snapshot").otherwise("multi_ping_trajectory"),
@@ -140,7 +140,7 @@ def profile_flags(df: DataFrame) -> DataFrame:
         F.avg(F.col("vehicle_type").isNull().cast("double")).alias("vt_missing"),
         F.avg(F.col("distance_km").isNull().cast("double")).alias("dist_missing"),
         F.count_if(F.col("booking_to_trip_start_h") < -24).alias("bad_wait"),
-    ).crossJoin(pings_per_booking(df).agg(F.max("pings").alias("max_pings")))
+    ).crossJoin(F.broadcast(pings_per_booking(df).agg(F.max("pings").alias("max_pings"))))
     flags = F.array(
         F.when(F.col("min_trip") < 0, F.lit("negative_trip_duration")),
         F.when(F.col("max_abs_delay") > EXTREME_DELAY_HOURS, F.lit("extreme_delay_outliers")),

@@ -176,7 +176,7 @@ def rec_peak(df: DataFrame, min_months: int = 3) -> DataFrame:
     count = monthly.agg(F.count(F.lit(1)).alias("_months"))
     peak = (
         monthly.orderBy(F.col("late_rate_pct").desc(), F.col("booking_month")).limit(1)
-        .crossJoin(count).where(F.col("_months") >= min_months)
+        .crossJoin(F.broadcast(count)).where(F.col("_months") >= min_months)
     )
     return _rec(peak, "N11", "P1", F.concat(F.lit("Peak-season capacity plan ("), F.col("booking_month"), F.lit(")")),
                 "Peak-month late rate (%)", F.col("booking_month"), F.col("bookings"), F.col("late_rate_pct"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_core", "q_kpis", "q_profile", "q_gps", "q_rules"]
+_MODULES = ["q_core", "q_kpis", "q_profile", "q_gps", "q_rules", "q_ml"]
 
 
 def _load():
