@@ -25,6 +25,7 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "frei
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.executorEnv.PYTHONWARNINGS", "ignore::FutureWarning")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()

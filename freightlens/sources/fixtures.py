@@ -36,13 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def shipments(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Typed canonical shipment rows (one per raw booking snapshot).
 
     Adds a helper ``_tie`` struct (partkey, suppkey, quantity, price,
-    discount, tax) used as the final dedupe tie-break.
+    discount, tax) used as the final dedupe tie-break.  ``lineitem`` may be
+    a streaming DataFrame (the other tables then join as static sides).
     """
-    li = table(spark, sf_dir, "lineitem", spread=True).select(
+    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem", spread=True)).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
     )
@@ -136,13 +137,16 @@ def shipments_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def gps_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def gps_pings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Multi-ping trajectories from ``events``: one ping per event.
 
     ``ping_seq`` (the event id) is the tie-break for pings at the same time.
-    ``ingest_ts`` lags the ping by ``event_id % 120`` seconds.
+    ``ingest_ts`` lags the ping by ``event_id % 120`` seconds.  ``events``
+    may be a streaming DataFrame.
     """
-    ev = table(spark, sf_dir, "events", spread=True).select("event_id", "ts", "user_id", "event_type")
+    ev = (events if events is not None else table(spark, sf_dir, "events", spread=True)).select(
+        "event_id", "ts", "user_id", "event_type"
+    )
     uid, eid = F.col("user_id"), F.col("event_id")
     bump = F.when(F.col("event_type").isin("view", "signup"), F.lit(0.0)).otherwise((eid % 50) * 0.04)
     ts = F.col("ts").cast("timestamp")
