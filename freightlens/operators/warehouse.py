@@ -78,7 +78,7 @@ def dim_location(enriched: DataFrame) -> DataFrame:
 
 
 def dimensions(enriched: DataFrame) -> dict[str, DataFrame]:
-    sup = dim_supplier(enriched)
+    sup = dim_supplier(enriched).persist()
     return {
         "dim_customer": dim_customer(enriched),
         "dim_supplier": sup,

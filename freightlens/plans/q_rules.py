@@ -23,13 +23,17 @@ def _e(spark, sf_dir):
 
 
 # --- S6 dimensions -------------------------------------------------------------
-Q["dim_customer"] = lambda spark, sf_dir: W.dim_customer(_e(spark, sf_dir))
-Q["dim_supplier"] = lambda spark, sf_dir: W.dim_supplier(_e(spark, sf_dir))
+def _dim(name):
+    return lambda spark, sf_dir: rounded(ctx.dimensions(spark, sf_dir)[name])
+
+
+Q["dim_customer"] = _dim("dim_customer")
+Q["dim_supplier"] = _dim("dim_supplier")
 Q["dim_vehicle"] = lambda spark, sf_dir: rounded(
-    W.dim_vehicle(_e(spark, sf_dir)).withColumn("min_daily_km", F.col("min_daily_km").cast("double"))
+    ctx.dimensions(spark, sf_dir)["dim_vehicle"].withColumn("min_daily_km", F.col("min_daily_km").cast("double"))
 )
-Q["dim_driver"] = lambda spark, sf_dir: W.dim_driver(_e(spark, sf_dir), W.dim_supplier(_e(spark, sf_dir)))
-Q["dim_location"] = lambda spark, sf_dir: rounded(W.dim_location(_e(spark, sf_dir)))
+Q["dim_driver"] = _dim("dim_driver")
+Q["dim_location"] = _dim("dim_location")
 
 
 def _mode_sql(key: str, col: str, alias: str) -> str:
@@ -86,7 +90,7 @@ SQL["dim_location"] = with_enriched(
 
 # --- S7 fact_shipment ------------------------------------------------------------
 def fact_shipment(spark, sf_dir):
-    f = W.fact_shipment(_e(spark, sf_dir))
+    f = W.fact_shipment(_e(spark, sf_dir), ctx.dimensions(spark, sf_dir))
     return rounded(
         f.select("booking_id", "customer_id", "supplier_id", "vehicle_id", "driver_id", "origin_location_id",
                  "dest_location_id", "is_ontime", F.col("delay_hours").cast("double").alias("delay_hours"),
@@ -127,7 +131,7 @@ Q["fact_gps_ping"] = lambda spark, sf_dir: W.fact_gps_ping(G.preprocess_trajecto
 # --- A13 --------------------------------------------------------------------------
 def mv_supplier_segment(spark, sf_dir):
     e = _e(spark, sf_dir)
-    dims = W.dimensions(e)
+    dims = ctx.dimensions(spark, sf_dir)
     facts = W.fact_shipment(e, dims)
     return rounded(W.mv_supplier_segment(facts, dims["dim_supplier"], dims["dim_vehicle"]))
 
