@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import IDLE_MIN_HOURS, IDLE_SPEED_KMPH
 from ..functions.columns import haversine_km, hours_between, null_false
 from .dedupe import keep_first
+from .quantiles import exact_quantiles
 from .trajectory import lag_by_key, running_count_by_key
 
 TRACKING_RECOMMENDATION = "Deploy continuous GPS (30-60s) for idle/moving decomposition"
@@ -47,15 +48,17 @@ def snapshot_summary(enriched: DataFrame) -> DataFrame:
         F.avg((F.col("current_lat").isNull() | F.col("current_lon").isNull()).cast("double")).alias(
             "missing_gps_coords"
         ),
-        F.median("gps_ping_lag_hours").alias("avg_ping_lag_from_trip_start_h"),
     )
-    med = (
-        enriched.where(F.col("booking_id").isNotNull())
-        .groupBy("booking_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.median("n").alias("median_pings_per_booking"))
+    # median lag and median pings per booking: exact, from distributed sorts
+    lag = exact_quantiles(enriched, "gps_ping_lag_hours", [0.5], names=["avg_ping_lag_from_trip_start_h"])
+    per = enriched.where(F.col("booking_id").isNotNull()).groupBy("booking_id").agg(F.count(F.lit(1)).alias("n"))
+    med = exact_quantiles(per, "n", [0.5], names=["median_pings_per_booking"])
+    one = lambda d, c: F.broadcast(d.agg(F.first(c).alias(c)))  # noqa: E731  (one row even if empty)
+    return (
+        base.crossJoin(one(lag, "avg_ping_lag_from_trip_start_h"))
+        .crossJoin(one(med, "median_pings_per_booking"))
+        .withColumn("tracking_recommendation", F.lit(TRACKING_RECOMMENDATION))
     )
-    return base.crossJoin(F.broadcast(med)).withColumn("tracking_recommendation", F.lit(TRACKING_RECOMMENDATION))
 
 
 def moving_idle_split(segments: DataFrame, booking_col: str = "booking_id") -> DataFrame:

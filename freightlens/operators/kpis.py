@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import r
+from .quantiles import exact_quantiles
 
 
 def pct(rate: Column, n: int = 2) -> Column:
@@ -20,7 +21,9 @@ def _keys(keys) -> list[str]:
 
 
 def percentile(col: str, q: float, exact: bool = True) -> Column:
-    """Linear-interpolated percentile; approximate (bounded memory) on request."""
+    """Inline percentile aggregate.  The exact form buffers every distinct
+    value of a group in one task, so tables use ``exact_quantiles`` (a
+    distributed sort) for exact answers and this only for approximations."""
     if exact:
         return F.percentile(F.col(col), F.lit(q))
     return F.percentile_approx(F.col(col), F.lit(q), F.lit(10000))
@@ -115,20 +118,29 @@ def customer_scorecard(df: DataFrame, min_bookings: int = 20) -> DataFrame:
     return segment_performance(df, "customer_name", min_bookings)
 
 
+def _with_group_quantiles(df: DataFrame, aggs: DataFrame, key: str, value: str, qs, names,
+                          exact: bool) -> DataFrame:
+    """Attach per-group quantiles: exact ones from the distributed sort
+    (bounded memory per task), or approximate sketches on request."""
+    if exact:
+        q = exact_quantiles(df, value, qs, [key], names)
+        return aggs.join(q, key, "left")
+    extra = df.groupBy(key).agg(*[percentile(value, qv, False).alias(nm) for qv, nm in zip(qs, names)])
+    return aggs.join(extra, key, "left")
+
+
 def material_lead_time(df: DataFrame, exact: bool = True) -> DataFrame:
     """Per material group volume, median / p90 trip days, on-time, delay."""
-    return (
-        df.where(F.col("material_group").isNotNull())
-        .groupBy("material_group")
-        .agg(
-            F.count("booking_id").alias("bookings"),
-            percentile("trip_days", 0.5, exact).alias("median_trip_days"),
-            percentile("trip_days", 0.9, exact).alias("p90_trip_days"),
-            F.avg("is_ontime").alias("ontime_rate"),
-            F.avg("delay_hours").alias("avg_delay_h"),
-        )
-        .orderBy(F.col("bookings").desc(), F.col("material_group"))
+    rows = df.where(F.col("material_group").isNotNull())
+    aggs = rows.groupBy("material_group").agg(
+        F.count("booking_id").alias("bookings"),
+        F.avg("is_ontime").alias("ontime_rate"),
+        F.avg("delay_hours").alias("avg_delay_h"),
     )
+    out = _with_group_quantiles(rows, aggs, "material_group", "trip_days", [0.5, 0.9],
+                                ["median_trip_days", "p90_trip_days"], exact)
+    return out.select("material_group", "bookings", "median_trip_days", "p90_trip_days", "ontime_rate",
+                      "avg_delay_h").orderBy(F.col("bookings").desc(), F.col("material_group"))
 
 
 def delay_patterns(df: DataFrame) -> DataFrame:
@@ -150,16 +162,15 @@ def delay_patterns(df: DataFrame) -> DataFrame:
 
 def fleet_utilization(df: DataFrame, exact: bool = True) -> DataFrame:
     """A10: per vehicle type (NULL dropped)."""
-    return (
-        df.where(F.col("vehicle_type").isNotNull())
-        .groupBy("vehicle_type")
-        .agg(
-            F.count("booking_id").alias("trips"),
-            F.avg("km_per_day").alias("avg_km_per_day"),
-            percentile("trip_days", 0.5, exact).alias("median_trip_days"),
-            F.avg("is_ontime").alias("ontime_rate"),
-        )
-        .orderBy(F.col("trips").desc(), F.col("vehicle_type"))
+    rows = df.where(F.col("vehicle_type").isNotNull())
+    aggs = rows.groupBy("vehicle_type").agg(
+        F.count("booking_id").alias("trips"),
+        F.avg("km_per_day").alias("avg_km_per_day"),
+        F.avg("is_ontime").alias("ontime_rate"),
+    )
+    out = _with_group_quantiles(rows, aggs, "vehicle_type", "trip_days", [0.5], ["median_trip_days"], exact)
+    return out.select("vehicle_type", "trips", "avg_km_per_day", "median_trip_days", "ontime_rate").orderBy(
+        F.col("trips").desc(), F.col("vehicle_type")
     )
 
 

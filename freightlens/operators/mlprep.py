@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RANDOM_STATE
+from .quantiles import exact_quantiles
 
 
 def hash_bucket(key: Column, seed: int = RANDOM_STATE, buckets: int = 100) -> Column:
@@ -97,12 +98,24 @@ def route_vectors(df: DataFrame, min_bookings: int = 5) -> DataFrame:
     return g.fillna(0.0, subset=["ontime_rate", "avg_delay", "avg_trip_days", "avg_detour"])
 
 
+def _feature_medians(frame: DataFrame, exprs: dict, prefix: str) -> DataFrame:
+    """One-row frame of exact medians, one per expression (distributed sort
+    over the unpivoted values)."""
+    long = frame.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("f"), e.cast("double").alias("v")) for k, e in exprs.items()
+    ])).alias("m")).select("m.f", "m.v")
+    med = exact_quantiles(long, "v", [0.5], ["f"], ["med"])
+    return med.groupBy().pivot("f", list(exprs)).agg(F.first("med")).select(
+        *[F.col(k).alias(f"{prefix}{k}") for k in exprs]
+    )
+
+
 def robust_outliers(vectors: DataFrame, key: str, features: Sequence[str], z_cut: float = 3.5) -> DataFrame:
     """Modified z = 0.6745 (x - median) / MAD per feature; outlier when
-    any |z| exceeds ``z_cut``.  Two global aggregates, each one row."""
-    med = vectors.agg(*[F.median(f).alias(f"_med_{f}") for f in features])
+    any |z| exceeds ``z_cut``.  Medians and MADs are one-row tables."""
+    med = _feature_medians(vectors, {f: F.col(f) for f in features}, "_med_")
     v = vectors.crossJoin(F.broadcast(med))
-    mad = v.agg(*[F.median(F.abs(F.col(f) - F.col(f"_med_{f}"))).alias(f"_mad_{f}") for f in features])
+    mad = _feature_medians(v, {f: F.abs(F.col(f) - F.col(f"_med_{f}")) for f in features}, "_mad_")
     v = v.crossJoin(F.broadcast(mad))
     zs = [
         F.when(F.col(f"_mad_{f}") > 0, F.abs(0.6745 * (F.col(f) - F.col(f"_med_{f}")) / F.col(f"_mad_{f}")))
@@ -123,7 +136,9 @@ def psi_drift(df: DataFrame, col: str, cutoff: str, date_col: str = "booking_dat
     )
     base = x.where(F.col("d") < F.to_timestamp(F.lit(cutoff)))
     qs = [k / bins for k in range(1, bins)]
-    edges = base.agg(F.percentile("x", F.array(*[F.lit(q) for q in qs])).alias("edges"))
+    names = [f"e{k}" for k in range(1, bins)]
+    dec = exact_quantiles(base, "x", qs, names=names)  # distributed exact deciles
+    edges = dec.select(F.array(*[F.col(n) for n in names]).alias("edges"))
     binned = x.crossJoin(F.broadcast(edges)).withColumn(
         "bin", F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(F.col("x") > e, 1).otherwise(0))
     )

@@ -7,36 +7,26 @@ from pyspark.sql import functions as F
 
 from ..config import EXTREME_DELAY_HOURS
 from ..functions.columns import hours_between
+from .quantiles import exact_quantiles
 
 DESCRIBE_COLUMNS = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
 
-def describe_aggs(col: Column) -> list[Column]:
-    """count / mean / sample std / min / quartiles (linear) / max of ``col``."""
-    return [
-        F.count(col).alias("count"),
-        F.avg(col).alias("mean"),
-        F.stddev_samp(col).alias("std"),
-        F.min(col).cast("double").alias("min"),
-        F.percentile(col, F.lit(0.25)).alias("p25"),
-        F.percentile(col, F.lit(0.5)).alias("p50"),
-        F.percentile(col, F.lit(0.75)).alias("p75"),
-        F.max(col).cast("double").alias("max"),
-    ]
-
-
 def describe_long(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Describe several columns in one pass; one output row per column."""
-    aggs = []
-    for c in columns:
-        aggs += [a.alias(f"{c}__{name}") for a, name in zip(describe_aggs(F.col(c)), DESCRIBE_COLUMNS)]
-    wide = df.agg(*aggs)
-    rows = ", ".join(
-        f"'{c}', " + ", ".join(f"`{c}__{n}`" for n in DESCRIBE_COLUMNS) for c in columns
-    )
-    return wide.selectExpr(
-        f"stack({len(columns)}, {rows}) AS (metric, {', '.join(DESCRIBE_COLUMNS)})"
+    """count / mean / sample std / min / quartiles (linear) / max for several
+    columns; one output row per column.  Moments come from one aggregate;
+    the quartiles from one distributed sort of the unpivoted values."""
+    long = df.select(
+        F.explode(F.array(*[
+            F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns
+        ])).alias("m")
+    ).select("m.metric", "m.v")
+    moments = long.groupBy("metric").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"),
     )
+    quart = exact_quantiles(long, "v", [0.25, 0.5, 0.75], ["metric"], ["p25", "p50", "p75"])
+    return moments.join(quart, "metric", "left").select("metric", *DESCRIBE_COLUMNS)
 
 
 def pings_per_booking(df: DataFrame) -> DataFrame:
@@ -51,7 +41,7 @@ def profile_counts(df: DataFrame) -> DataFrame:
         F.date_format(F.min("booking_date"), "yyyy-MM-dd HH:mm:ss").alias("booking_min"),
         F.date_format(F.max("booking_date"), "yyyy-MM-dd HH:mm:ss").alias("booking_max"),
     )
-    med = pings_per_booking(df).agg(F.median("pings").alias("median_pings_per_booking"))
+    med = exact_quantiles(pings_per_booking(df), "pings", [0.5], names=["median_pings_per_booking"])
     out = base.crossJoin(F.broadcast(med))  # two single-row aggregates
     return out.withColumn(
         "gps_tracking_mode",
@@ -81,7 +71,7 @@ def profile_missing(df: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def profile_pings(df: DataFrame) -> DataFrame:
     """Describe of pings per booking."""
-    return pings_per_booking(df).agg(*describe_aggs(F.col("pings")))
+    return describe_long(pings_per_booking(df), ["pings"]).drop("metric")
 
 
 def profile_flag_dist(df: DataFrame) -> DataFrame:

@@ -79,3 +79,20 @@ def test_forecast_min_months_and_level(spark):
         level = 0.35 * y + 0.65 * level
     assert [r.booking_month for r in out] == ["2024-06", "2024-07", "2024-08"]
     assert all(r.forecast_bookings == round(level) for r in out)
+
+
+def test_exact_quantiles_match_percentile(spark):
+    import random
+
+    from freightlens.operators.quantiles import exact_quantiles
+
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.random() * 100 if rnd.random() > 0.1 else None)
+            for _ in range(3000)] + [("solo", 5.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.p50, r.p90) for r in exact_quantiles(df, "x", [0.5, 0.9], ["g"], ["p50", "p90"]).collect()}
+    want = {r.g: (r.p50, r.p90) for r in df.groupBy("g").agg(
+        F.percentile("x", F.lit(0.5)).alias("p50"), F.percentile("x", F.lit(0.9)).alias("p90")).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9
