@@ -49,23 +49,30 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], groups: Sequ
     blocks = r.groupBy("_pid", *key).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_p0"))
     wg = Window.partitionBy(*key).orderBy("_pid")
     blocks = blocks.select(
-        "_pid", *key, "_p0",
+        "_pid", *key, "_p0", "_cnt",
         F.coalesce(F.sum("_cnt").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(*key)).alias("_n"),
     )
-    ranked = _join_ns(r, blocks, ["_pid", *key]).withColumn("_rank", F.col("_off") + F.col("_pos") - F.col("_p0"))
-    # wanted ranks per group: floor/ceil of q (n - 1) for each q
-    wants = blocks.select(*key, "_n").distinct().select(
-        *key, "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("_q")
-    ).withColumn("_h", F.col("_q") * (F.col("_n") - 1)).withColumns(
-        {"_lo": F.floor("_h"), "_hi": F.ceil("_h")}
+    # wanted ranks per block: floor/ceil of q (n - 1), mapped to (partition, position)
+    want = blocks.select(
+        "_pid", *key, "_p0", "_cnt", "_off", "_n",
+        F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("_q"),
+    ).withColumn("_h", F.col("_q") * (F.col("_n") - 1))
+    want = want.select(
+        "*", F.explode(F.array(F.floor("_h"), F.ceil("_h"))).alias("_rank")
+    ).where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_cnt")))
+    targets = want.select(
+        "_pid", (F.col("_p0") + F.col("_rank") - F.col("_off")).alias("_pos"), *[F.col(c).alias(f"_t_{c}") for c in key],
+        "_q", "_h", "_rank",
     )
-    picks = ranked.select(*key, "_rank", "_x")
-    lo = _join_ns(wants, picks.withColumnRenamed("_rank", "_lo").withColumnRenamed("_x", "_xlo"), [*key, "_lo"])
-    both = _join_ns(lo, picks.withColumnRenamed("_rank", "_hi").withColumnRenamed("_x", "_xhi"), [*key, "_hi"])
-    val = F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
-    out = both.select(*key, "_q", val.alias("_v")).groupBy(*key).pivot("_q", [float(q) for q in qs]).agg(
-        F.first("_v")
+    # a few rows per group and quantile; every other row is dropped by the join
+    picked = r.select("_pid", "_pos", "_x").join(targets, ["_pid", "_pos"])
+    per_q = picked.groupBy(*[f"_t_{c}" for c in key], "_q").agg(
+        F.min_by("_x", "_rank").alias("_xlo"), F.max_by("_x", "_rank").alias("_xhi"),
+        F.first("_h").alias("_h"),
     )
-    out = out.select(*key, *[F.col(f"`{float(q)}`").alias(nm) for q, nm in zip(qs, names)])
+    val = F.col("_xlo") + (F.col("_h") - F.floor("_h")) * (F.col("_xhi") - F.col("_xlo"))
+    out = per_q.groupBy(*[f"_t_{c}" for c in key]).pivot("_q", [float(q) for q in qs]).agg(F.first(val))
+    out = out.select(*[F.col(f"_t_{c}").alias(c) for c in key],
+                     *[F.col(f"`{float(q)}`").alias(nm) for q, nm in zip(qs, names)])
     return out.drop("_g") if not g else out
