@@ -51,8 +51,11 @@ def vehicle_mode_by_band(df: DataFrame) -> DataFrame:
     )
 
 
-def _staged(deduped: DataFrame) -> DataFrame:
-    """C2-C9 with the rule masks kept as helper columns."""
+def _rules(deduped: DataFrame) -> DataFrame:
+    """C2-C4 and C7-C9, with the rule masks kept as helper columns.
+
+    None of these read the vehicle type, so they run before the imputation
+    and the stage can be materialized once (see ``clean_shipments``)."""
     df = deduped.withColumns(
         {
             "ontime_flag": normalise_flag(),
@@ -64,17 +67,6 @@ def _staged(deduped: DataFrame) -> DataFrame:
             "distance_band": distance_band("distance_km"),
         }
     )
-    # The mode table has at most 5 rows (one per band): broadcast is bounded.
-    modes = F.broadcast(vehicle_mode_by_band(df))
-    df = df.join(modes, "distance_band", "left")
-    missing = F.col("vehicle_type").isNull()
-    df = df.withColumns(
-        {
-            "vehicle_type_imputed": missing & F.col("_band_vehicle").isNotNull(),
-            "vehicle_type": F.coalesce(F.col("vehicle_type"), F.col("_band_vehicle")),
-        }
-    ).drop("_band_vehicle")
-
     trip_days = hours_between("trip_end", "trip_start") / 24.0
     delay_h = hours_between("actual_eta", "planned_eta")
     wait_h = hours_between("trip_start", "booking_date")
@@ -96,6 +88,25 @@ def _staged(deduped: DataFrame) -> DataFrame:
     )
 
 
+def impute_vehicle_types(df: DataFrame) -> DataFrame:
+    """Fill a missing vehicle type with its band's most frequent type
+    and flag it.  The mode table has at most 5 rows: a bounded broadcast."""
+    modes = F.broadcast(vehicle_mode_by_band(df))
+    out = df.join(modes, "distance_band", "left")
+    missing = F.col("vehicle_type").isNull()
+    return out.withColumns(
+        {
+            "vehicle_type_imputed": missing & F.col("_band_vehicle").isNotNull(),
+            "vehicle_type": F.coalesce(F.col("vehicle_type"), F.col("_band_vehicle")),
+        }
+    ).drop("_band_vehicle")
+
+
+def _staged(deduped: DataFrame) -> DataFrame:
+    """C2-C9 with the rule masks kept as helper columns."""
+    return impute_vehicle_types(_rules(deduped))
+
+
 def quality_log(raw: DataFrame, staged: DataFrame) -> DataFrame:
     """(step, metric, value) rows for the five cleaning steps."""
     before = raw.agg(F.count(F.lit(1)).alias("raw_rows"))
@@ -118,7 +129,14 @@ def quality_log(raw: DataFrame, staged: DataFrame) -> DataFrame:
     ).withColumn("value", F.col("value").cast("bigint"))
 
 
-def clean_shipments(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns (clean, quality_log)."""
-    staged = _staged(dedupe_bookings(raw))
+def clean_shipments(raw: DataFrame, materialize=None) -> tuple[DataFrame, DataFrame]:
+    """Returns (clean, quality_log).
+
+    ``materialize`` (e.g. a write to the checkpoint folder) is applied after
+    dedupe + rules, so the band-mode lookup reads two columns of that table
+    instead of re-running the scan, joins and dedupe in a second branch."""
+    ruled = _rules(dedupe_bookings(raw))
+    if materialize is not None:
+        ruled = materialize(ruled)
+    staged = impute_vehicle_types(ruled)
     return staged.drop(*_MASKS), quality_log(raw, staged)

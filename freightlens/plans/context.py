@@ -53,7 +53,13 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
-    return _memo(spark, sf_dir, "clean", lambda: clean_shipments(raw(spark, sf_dir))[0], persist)
+    """Clean shipments; with ``persist`` the dedupe + rules stage is written
+    once and the cheap imputation step runs on top of that table."""
+    k = _key(spark, sf_dir, "clean")
+    if k not in _FRAMES:
+        write = (lambda df: materialize(df, "ruled")) if persist else None
+        _FRAMES[k] = clean_shipments(raw(spark, sf_dir), materialize=write)[0]
+    return _FRAMES[k]
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
