@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import clean as C
 from ..sources import fixtures
 from ..sources.shipments import load_shipments

@@ -9,7 +9,7 @@ from ..operators import rules as N
 from ..operators import warehouse as W
 from . import context as ctx
 from .common import rounded
-from .oracle_sql import SEG_MEASURES, hours, rnd, segment_sql, with_enriched
+from .oracle_sql import hours, rnd, segment_sql, with_enriched
 
 Q: dict = {}
 SQL: dict = {}

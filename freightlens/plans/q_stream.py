@@ -16,8 +16,8 @@ from ..sources import fixtures
 from ..streaming import pings as S
 from . import context as ctx
 from .common import rounded
-from .oracle_sql import hav, hours, rnd, with_raw
-from .q_gps import PINGS_CTE, SEG_CTE, wsql
+from .oracle_sql import hav, rnd, with_raw
+from .q_gps import PINGS_CTE, wsql
 
 Q: dict = {}
 SQL: dict = {}
@@ -235,4 +235,3 @@ def ingest_lag(spark, sf_dir):
 
 
 Q["ingest_lag"] = ingest_lag
-_ = hours  # shared helper kept importable for twins
