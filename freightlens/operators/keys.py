@@ -15,11 +15,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _join_ns(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Inner join on ``cols`` treating NULL = NULL."""
+    ren = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    cond = None
+    for c in cols:
+        e = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        cond = e if cond is None else cond & e
+    return left.join(ren, cond, "inner").drop(*[f"_r_{c}" for c in cols])
+
+
 def sequential_ids(df: DataFrame, order_cols: Sequence[str], out: str, partitions: int | None = None) -> DataFrame:
+    """Dense 1-based ids in ``order_cols`` order (NULLs last).  ``order_cols``
+    must be unique per row (a natural key).
+
+    Only the key columns are range-partitioned: the position branch and the
+    per-partition count branch then read the very same exchange (one
+    sampling of the range bounds), and the ids are joined back on the key."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = [F.col(c).asc_nulls_last() for c in order_cols]
-    r = df.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
+    keys = df.select(*order_cols)
+    r = keys.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
     r = r.withColumn("_mid", F.monotonically_increasing_id())
     r = r.withColumns(
         {"_pid": F.shiftright(F.col("_mid"), 33), "_pos": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
@@ -32,8 +49,8 @@ def sequential_ids(df: DataFrame, order_cols: Sequence[str], out: str, partition
         ).alias("_off"),
     )
     # One row per partition: a bounded broadcast.
-    return (
+    ids = (
         r.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, (F.col("_off") + F.col("_pos") + 1).cast("int"))
-        .drop("_mid", "_pid", "_pos", "_off")
+        .select(*order_cols, (F.col("_off") + F.col("_pos") + 1).cast("int").alias(out))
     )
+    return _join_ns(df, ids, list(order_cols))

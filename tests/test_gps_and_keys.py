@@ -96,3 +96,13 @@ def test_exact_quantiles_match_percentile(spark):
     assert got.keys() == want.keys()
     for k in want:
         assert abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9
+
+
+def test_sequential_ids_with_sampled_range_bounds(spark):
+    # enough keys (and a payload column) that the range partitioner samples
+    rows = [(f"k{(i * 7919) % 60000:05d}", i % 13) for i in range(60000)]
+    df = spark.createDataFrame(rows, "name string, payload int")
+    got = sequential_ids(df, ["name"], "id", partitions=8).select("name", "id", "payload")
+    w = Window.orderBy("name")
+    want = df.select("name", F.row_number().over(w).alias("id"), "payload")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
