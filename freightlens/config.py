@@ -7,8 +7,6 @@ here, as text, in their natural order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -124,28 +122,3 @@ PING_SCHEMA = T.StructType(
         T.StructField("ingest_ts", T.TimestampType(), True),
     ]
 )
-
-
-@dataclass(frozen=True)
-class Params:
-    """Tunable thresholds of the KPI, rule and model operators."""
-
-    segment_min_bookings: int = 10
-    supplier_min: int = 15
-    supplier_segment_min: int = 5
-    route_min: int = 5
-    driver_min: int = 10
-    customer_min: int = 20
-    priority_route_min: int = 20
-    priority_route_delay_h: float = 48.0
-    rec_route_min: int = 20
-    rec_lane_min: int = 25
-    rec_supplier_min: int = 40
-    rec_customer_min: int = 30
-    forecast_periods: int = 3
-    # Exact percentiles buffer every value of a group; switch to
-    # approx_percentile for very large groups at scale.
-    exact_percentiles: bool = True
-
-
-DEFAULT_PARAMS = Params()
