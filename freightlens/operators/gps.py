@@ -9,7 +9,7 @@ from ..config import IDLE_MIN_HOURS, IDLE_SPEED_KMPH
 from ..functions.columns import haversine_km, hours_between, null_false
 from .dedupe import keep_first
 from .quantiles import exact_quantiles
-from .trajectory import lag_by_key, running_count_by_key
+from .trajectory import lag_by_key, running_count_by_key, running_max_by_key
 
 TRACKING_RECOMMENDATION = "Deploy continuous GPS (30-60s) for idle/moving decomposition"
 
@@ -79,15 +79,15 @@ def idle_episodes(segments: DataFrame, booking_col: str = "booking_id", time_col
                   tie_col: str = "ping_seq", min_hours: float = 0.0, bucket_hours: int = 24) -> DataFrame:
     """Runs of consecutive idle segments (gaps and islands).
 
-    An episode starts at an idle segment whose predecessor is not idle; the
-    episode number is a running count of starts, then idle rows are
-    aggregated per (booking, episode)."""
-    s = lag_by_key(segments, booking_col, time_col, tie_col, ["is_idle_segment"], "_pi_", bucket_hours)
-    start = F.col("is_idle_segment") & ~F.coalesce(F.col("_pi_is_idle_segment"), F.lit(False))
-    s = running_count_by_key(s, booking_col, time_col, tie_col, "episode_no", start.cast("int"), bucket_hours)
+    A run is identified by the latest non-idle point before it (a running
+    max over the booking's rows, bucketed), so idle rows are grouped by
+    (booking, break point); the episodes are then numbered in time order
+    with a running count over the episode table (one row per episode)."""
+    brk = F.when(~F.col("is_idle_segment"), F.struct(F.col(time_col).alias("t"), F.col(tie_col).alias("s")))
+    s = running_max_by_key(segments, booking_col, time_col, tie_col, brk, "_brk", bucket_hours)
     ep = (
         s.where(F.col("is_idle_segment") & F.col(booking_col).isNotNull())
-        .groupBy(booking_col, "episode_no")
+        .groupBy(booking_col, "_brk")
         .agg(
             F.min("prev_time").alias("episode_start"),
             F.max(time_col).alias("episode_end"),
@@ -95,8 +95,10 @@ def idle_episodes(segments: DataFrame, booking_col: str = "booking_id", time_col
             F.sum("segment_km").alias("idle_km"),
             F.count(F.lit(1)).alias("segments"),
         )
+        .select("*", F.col("_brk.t").alias("_bt"), F.col("_brk.s").alias("_bs"))
     )
-    return ep.where(F.col("idle_hours") >= min_hours)
+    ep = running_count_by_key(ep, booking_col, "_bt", "_bs", "episode_no", None, bucket_hours)
+    return ep.where(F.col("idle_hours") >= min_hours).drop("_brk", "_bt", "_bs")
 
 
 def ping_compliance(pings: DataFrame, cadence_minutes: float = 15.0, threshold: float = 0.9,

@@ -67,3 +67,19 @@ def running_count_by_key(df: DataFrame, key: str, ts: str, tie: str, out: str,
     return j.withColumn(out, F.col("_within") + F.coalesce(F.col("_off"), F.lit(0))).drop(
         "_v", "_bkt", "_within", "_off"
     )
+
+
+def running_max_by_key(df: DataFrame, key: str, ts: str, tie: str, value: Column, out: str,
+                       bucket_hours: int = 24) -> DataFrame:
+    """``out`` = max of ``value`` over the rows of the same key up to and
+    including the current one (NULL values skipped), in (ts, tie) order."""
+    b = with_bucket(df.withColumn("_v", value), ts, bucket_hours)
+    w = Window.partitionBy(key, "_bkt").orderBy(*_order(ts, tie)).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    b = b.withColumn("_within", F.max("_v").over(w))
+    tops = b.groupBy(key, "_bkt").agg(F.max("_v").alias("_top"))
+    wb = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(key, "_bkt", F.max("_top").over(wb).alias("_carry"))
+    j = b.join(carry, [key, "_bkt"], "left")
+    return j.withColumn(out, F.greatest(F.col("_within"), F.col("_carry"))).drop("_v", "_bkt", "_within", "_carry")
