@@ -17,5 +17,37 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing,)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.quality_rules import judge
+
+    return judge(documents(spark, sf_dir))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS p FROM w WHERE len(ws) >= 5)),
+twice AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM win JOIN twice USING (doc_id, g), range(0, 5) AS r(k) GROUP BY doc_id),
+raw_lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM raw_lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+norm AS (SELECT doc_id, host, string_split(lower(regexp_replace(t, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), chr(10)) AS ls FROM d),
+line AS (SELECT doc_id, host, generate_subscripts(ls, 1) AS pos, unnest(list_transform(ls, lambda x: trim(x, ' '))) AS l FROM norm),
+near AS (SELECT *, lag(l) OVER o AS before, lead(l) OVER o AS after FROM line WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+held AS (SELECT doc_id, host, l, sum(len(string_split(l, ' '))) AS n, arg_min(row(coalesce(before, chr(1)), coalesce(after, chr(1))), pos) AS c FROM near WHERE l <> '' GROUP BY ALL),
+hosts AS (SELECT host, count(*) AS docs FROM d GROUP BY host),
+boiler AS (SELECT h.host, l FROM held h JOIN hosts USING (host) GROUP BY h.host, l HAVING count(*) >= 10 AND count(DISTINCT c) >= 0.5 * count(*) AND count(*) >= 0.01 * any_value(docs)),
+gone AS (SELECT doc_id, sum(n) AS n FROM held JOIN boiler USING (host, l) GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+  coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+  AND (removed_words = 0 OR (n_words - removed_words >= 10 AND n_words - removed_words >= 0.3 * n_words)) AS kept
+FROM m
+"""
+
+
+QUERIES = {f.__name__: f for f in (op4_packing, op6_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
