@@ -35,10 +35,10 @@ def _repeated_words(window_hashes: Column, n: int = 5) -> Column:
     def twice(s: Column) -> Column:
         near = lambda e, j: (e["h"] == F.get(s, j)["h"])
         at = F.transform(s, lambda e, j: F.when(F.coalesce(near(e, j - 1), F.lit(False)) | F.coalesce(near(e, j + 1), F.lit(False)), e["i"]))
-        return let(F.array_sort(F.array_compact(at)), covered)
+        return let(F.sort_array(F.array_compact(at)), covered)
 
     pairs = F.transform(window_hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    return F.when(F.size(F.array_distinct(window_hashes)) == F.size(window_hashes), F.lit(0)).otherwise(let(F.array_sort(pairs), twice))
+    return F.when(F.size(F.array_distinct(window_hashes)) == F.size(window_hashes), F.lit(0)).otherwise(let(F.sort_array(pairs), twice))
 
 
 def _key() -> Column:
