@@ -26,7 +26,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with value computed once a row, also inside the body's lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
 def words(text: Column) -> Column:
