@@ -49,5 +49,17 @@ FROM m
 """
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_quality_rules)}
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.secret_scan import scan_secrets
+
+    return scan_secrets(documents(spark, sf_dir))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.fingerprint import fingerprints
+
+    return fingerprints(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_packing, op6_quality_rules, op9_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
