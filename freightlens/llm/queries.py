@@ -61,5 +61,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_packing, op6_quality_rules, op9_fingerprints)}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.quality_model import score_quality
+
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op9_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
