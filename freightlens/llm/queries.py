@@ -67,5 +67,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op9_fingerprints)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.lang_crf import predict
+
+    return predict(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op9_fingerprints, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
