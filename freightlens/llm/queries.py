@@ -73,5 +73,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op9_fingerprints, op10_language_id)}
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.lm_nce import score
+
+    return score(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op9_fingerprints, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
