@@ -79,5 +79,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op9_fingerprints, op10_language_id)}
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.ngram_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), k=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_join, op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op9_fingerprints, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
