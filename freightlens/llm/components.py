@@ -30,3 +30,24 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
             break
         state = now
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+
+
+def crossing(entries: DataFrame, comps: DataFrame, carried: list[str], near) -> DataFrame:
+    """Pairs (a > b) of nodes of different components that share a token and are near.
+
+    ``entries`` has token, node and the carried columns; ``near`` gets a function from
+    a carried column to the other entry's and gives the condition.  Nodes without a
+    component are their own.  For each token, nodes outside its most frequent
+    component are joined with all of another component, so a token that one
+    component holds alone gives nothing.
+    """
+    own = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = table(own, "entries")
+    several = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    some = table(own.join(several, "token"), "open-entries")
+    sizes = some.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    outside = some.join(main, "token").where("comp <> main").drop("main")
+    others = some.select("token", F.col("node").alias("_node"), F.col("comp").alias("_comp"), *[F.col(c).alias(f"_{c}") for c in carried])
+    pairs = outside.join(others, "token").where("comp <> _comp").where(near(lambda c: F.col(f"_{c}")))
+    return pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.llm import textvec as tv
-from freightlens.llm.components import components
+from freightlens.llm.components import components, crossing
 from freightlens.llm.shared import table
 
 WORDS, PERCENT = 5, 80
@@ -171,11 +171,11 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return table(rows.mapInArrow(run, "a long, b long"), "verified")
 
 
-def _close(percent: int) -> F.Column:
+def _close(percent: int, m: F.Column, at: F.Column) -> F.Column:
     """Size and position filter of two entries (n, pos) and (m, at) of one token."""
-    need = (F.col("n") + F.col("m")) * percent
-    most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
-    return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent) & (most * (100 + percent) >= need)
+    need = (F.col("n") + m) * percent
+    most = F.least(F.col("n") - F.col("pos"), m - at)
+    return (F.col("n") * 100 >= m * percent) & (m * 100 >= F.col("n") * percent) & (most * (100 + percent) >= need)
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -203,25 +203,17 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     rated = table(rated.select("token", "grp", "n", "pos", "key"), "rated")
     best = rated.groupBy("token").agg(F.min("key").alias("key"))
     leaders = rated.join(best, ["token", "key"]).select("token", F.col("grp").alias("lead"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    stars = rated.join(leaders, "token").where(F.col("grp") != F.col("lead")).where(_close(percent)).select("grp", "lead").distinct()
+    stars = rated.join(leaders, "token").where(F.col("grp") != F.col("lead")).where(_close(percent, F.col("m"), F.col("at"))).select("grp", "lead").distinct()
     # groups to members: each member with the other group's first, and with its own group's first
     pairs = stars.join(members.select("grp", "node"), "grp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     pairs = pairs.unionAll(members.where("node <> grp").select(F.col("node").alias("a"), F.col("grp").alias("b")))
     links = verified(docs, pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), k, percent)
     comps = components(links)
 
-    # between components: all members of all groups, the prefix's tokens and the group itself
+    # between components: all members of all groups, under the prefix's tokens and the group itself
     wide = rated.select("token", "grp", "pos").unionAll(members.where("size > 1 AND node = grp").select(F.xxhash64("grp", F.lit("group")).alias("token"), "grp", F.lit(0).alias("pos")))
-    at = members.join(comps, "node", "left").select("grp", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    entries = table(wide.join(at, "grp").select("token", "node", "n", "pos", "comp"), "entries")
-    split = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    entries = table(entries.join(split, "token"), "open-entries")
-    sizes = entries.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    outside = entries.join(main, "token").where("comp <> main").drop("main")
-    others = entries.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("far"))
-    rest = outside.join(others, "token").where("comp <> far").where(_close(percent))
-    rest = rest.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    entries = wide.join(members.select("grp", "node", "n"), "grp").select("token", "node", "n", "pos")
+    rest = crossing(entries, comps, ["n", "pos"], lambda c: _close(percent, c("n"), c("pos")))
     more = verified(docs, rest, k, percent)
     comps = components(links.unionAll(more))
 

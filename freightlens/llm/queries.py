@@ -85,5 +85,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), k=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_join, op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op9_fingerprints, op10_language_id)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.line_dedup import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scoring, op2_ngram_join, op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op9_fingerprints, op10_language_id)
+}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}

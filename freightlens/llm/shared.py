@@ -33,3 +33,12 @@ def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
+
+
+#: Rows up to which a one-column table of longs is sent to every task: 8 MB.
+SMALL_ROWS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it has at most SMALL_ROWS rows; else it is joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
