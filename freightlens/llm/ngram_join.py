@@ -104,19 +104,19 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFrame:
-    """doc_id, set size n, a 128-bit sum of the set, and its prefix in order."""
+    """doc_id, a hash of the text, set size n, a 128-bit sum of the set, and its prefix in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tv.slices(batches):
-            sets = token_sets(tv.split_words(b.column(1)), k, rank)
+            sets = token_sets(tv.split_words(b.column(2)), k, rank)
             n = [len(s) for s in sets]
             sums = [[int(np.add.reduce(tv.mix(s ^ salt))) for s in sets] for salt in _ODD[:2]]
             cut = [s[: _prefix(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
             off = np.concatenate(([0], np.cumsum([len(c) for c in cut])))
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(cut), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *[pa.array(np.array(s, np.uint64).view(np.int64)) for s in sums], lists], names=["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *[pa.array(np.array(s, np.uint64).view(np.int64)) for s in sums], lists], names=["doc_id", "text_key", "n", "s1", "s2", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, s1 long, s2 long, prefix array<long>")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -179,7 +179,7 @@ def _close(percent: int, m: F.Column, at: F.Column) -> F.Column:
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles, component_id of every document, and a hash of its text."""
     tv.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rank = counter_ranks(docs, k)
@@ -218,6 +218,13 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     comps = components(links.unionAll(more))
 
     final = nodes.join(comps, "node", "left").select(*keys, F.coalesce("comp", "node").alias("component_id"))
-    linked = full.select("doc_id", *keys).join(final, keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    single = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = full.select("doc_id", "text_key", *keys).join(final, keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
+    single = sets.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_key")
     return linked.unionAll(single)
+
+
+def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents' columns; of each component only the rows with its least doc_id stay."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    copies = table(near_duplicates(docs, k, percent).where("doc_id <> component_id").select("doc_id", "text_key").distinct(), "copies")
+    return docs.withColumn("text_key", F.xxhash64("text")).join(copies, ["doc_id", "text_key"], "left_anti").drop("text_key")

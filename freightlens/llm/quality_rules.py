@@ -98,24 +98,43 @@ def boilerplate(lines: DataFrame, docs: DataFrame, limits: dict) -> DataFrame:
     return seen.join(hosts, "host").where(F.col("d") >= limits["min_share"] * F.col("host_docs")).select("host", "line")
 
 
-def judge(docs: DataFrame, **limits) -> DataFrame:
-    """Counts and verdict of every document: base_failed, removed_words, kept."""
-    limits = LIMITS | limits
-    docs = docs.select("doc_id", "text", "source")
+def _counted(docs: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
+    """Counts and verdicts by (doc_id, key), with the number of equal rows; and the lines that go."""
     lines = table(line_table(docs), "lines")
-    hit = lines.join(table(boilerplate(lines, docs, limits), "boilerplate"), ["host", "line"])
+    hit = table(lines.join(table(boilerplate(lines, docs, limits), "boilerplate"), ["host", "line"]).select("doc_id", "key", "line", "w"), "boilerplate-lines")
     removed = hit.groupBy("doc_id", "key").agg(F.sum("w").alias("w"))
-    return _verdict(measures(docs), removed, limits)
-
-
-def _verdict(base: DataFrame, removed: DataFrame, limits: dict) -> DataFrame:
-    """Equal rows are grouped, as their removed words are a sum over all of them, and then repeated."""
-    twins = base.groupBy("doc_id", "key").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-    a, b = twins.alias("a"), removed.alias("b")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    a = measures(docs).groupBy("doc_id", "key").agg(F.count("*").alias("rows"), *[F.max(c).alias(c) for c in counts]).alias("a")
+    b = removed.alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")), "left")
+    # the lines' words are a sum over equal rows
     both = both.select("a.*", F.coalesce(F.col("b.w") / F.col("a.rows"), F.lit(0)).cast("long").alias("removed_words"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     fine = (F.col("removed_words") == 0) | ((left >= limits["min_words"]) & (left >= limits["min_left"] * F.col("n_words")))
-    out = both.withColumn("base_failed", failed).withColumn("kept", ~failed & fine)
+    return both.withColumn("base_failed", failed).withColumn("kept", ~failed & fine), hit
+
+
+def judge(docs: DataFrame, **limits) -> DataFrame:
+    """Counts and verdict of every document: base_failed, removed_words, kept."""
+    out, _ = _counted(docs.select("doc_id", "text", "source"), LIMITS | limits)
     return out.withColumn("rows", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))).drop("rows", "key")
+
+
+def without_rejected(docs: DataFrame, **limits) -> DataFrame:
+    """The documents' columns without rejected documents and without lines above the limits."""
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    verdict, hit = _counted(docs, LIMITS | limits)
+    good = table(verdict.where("kept").select("doc_id", "key"), "kept")
+    gone = hit.groupBy("doc_id", "key").agg(F.collect_set("line").alias("gone")).alias("g")
+    k = good.alias("k")
+    marks = k.join(gone, F.col("k.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("k.key") == F.col("g.key")), "left").select("k.doc_id", "k.key", "gone").alias("m")
+    rows = docs.withColumn("key", _key()).alias("d").join(marks, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.key") == F.col("m.key"))).select("d.*", "gone")
+
+    def left(names: Column) -> Column:
+        stays = lambda x, i: ~F.coalesce(F.array_contains("gone", F.get(names, i)), F.lit(False))
+        return F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
+
+    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(F.transform(normal_lines(F.col("text")), lambda x: F.xxhash64(x)), left))
+    n = F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("new").cast("long"))
+    return rows.withColumn("new", new).select("doc_id", F.col("new").alias("text"), "lang", "source", n.alias("n_chars"))

@@ -91,8 +91,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(documents(spark, sf_dir))
 
 
+def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from freightlens.llm.sp_sampling import encode_samples
+
+    return encode_samples(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scoring, op2_ngram_join, op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules, op7_line_dedup, op9_fingerprints, op10_language_id)
+    for f in (
+        op1_lm_scoring, op2_ngram_join, op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules,
+        op7_line_dedup, op8_sentencepiece_sampling, op9_fingerprints, op10_language_id,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
