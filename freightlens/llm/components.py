@@ -32,22 +32,50 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-def crossing(entries: DataFrame, comps: DataFrame, carried: list[str], near) -> DataFrame:
-    """Pairs (a > b) of nodes of different components that share a token and are near.
+MIX = 8
+
+
+def _open(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """The entries, with their nodes' components, of tokens that several components have."""
+    own = table(entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "entries")
+    several = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return own.join(several, "token")
+
+
+def _pairs(a: DataFrame, b: DataFrame, on: list[str], carried: list[str], near) -> DataFrame:
+    others = b.select(*on, F.col("node").alias("_node"), F.col("comp").alias("_comp"), *[F.col(c).alias(f"_{c}") for c in carried])
+    pairs = a.join(others, on).where("comp <> _comp").where(near(lambda c: F.col(f"_{c}")))
+    return pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+
+
+def merged(entries: DataFrame, links: DataFrame, carried: list[str], near, verify, of_node: DataFrame | None = None, mixes: int = 2) -> DataFrame:
+    """Components of all links between nodes that share a token and are near, given some of them.
 
     ``entries`` has token, node and the carried columns; ``near`` gets a function from
-    a carried column to the other entry's and gives the condition.  Nodes without a
-    component are their own.  For each token, nodes outside its most frequent
-    component are joined with all of another component, so a token that one
-    component holds alone gives nothing.
+    a carried column to the other entry's and gives a condition; ``verify`` gives the
+    links among pairs (a, b).  Carried columns that are in ``of_node`` (node and
+    columns) are joined to the tokens that remain.
+
+    Only pairs of different components are looked at.  First, ``mixes`` times, each
+    token's entries are dealt at random into small parts of about MIX entries, and
+    the pairs inside the parts are verified: a dense group becomes one component by
+    few pairs for each node.  Then, for completeness, nodes outside their token's most
+    frequent component are joined with all of another component.  A token that one
+    component holds alone gives nothing, so no group is expanded into all its pairs.
     """
-    own = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    own = table(own, "entries")
-    several = own.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    some = table(own.join(several, "token"), "open-entries")
+    comps = components(links)
+    for seed in range(mixes):
+        some = _open(entries, comps)
+        if of_node is not None:
+            some, of_node = some.join(of_node, "node"), None
+        some = table(some, "open-entries")
+        sizes = some.groupBy("token").agg(F.ceil(F.count("*") / MIX).alias("parts"))
+        dealt = some.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("node", "token", F.lit(seed)), F.col("parts"))).drop("parts")
+        links = table(links.unionAll(verify(_pairs(dealt, dealt, ["token", "part"], carried, near))), "all-links")
+        comps = components(links)
+        entries = some.drop("comp")
+    some = table(_open(entries, comps), "open-entries")
     sizes = some.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     outside = some.join(main, "token").where("comp <> main").drop("main")
-    others = some.select("token", F.col("node").alias("_node"), F.col("comp").alias("_comp"), *[F.col(c).alias(f"_{c}") for c in carried])
-    pairs = outside.join(others, "token").where("comp <> _comp").where(near(lambda c: F.col(f"_{c}")))
-    return pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
+    return components(links.unionAll(verify(_pairs(outside, some, ["token"], carried, near))))

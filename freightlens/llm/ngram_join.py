@@ -9,12 +9,16 @@ n-gram's token.  Two sets that are similar enough share a token among their firs
 1. Equal sets are one node.  Nodes of one size and prefix are one group.
 2. A token's groups are joined with the token's leader, the group with the fewest
    tokens of its own; pairs are filtered by size and position, expanded to the
-   groups' members and verified on whole sets.  Links give components.
-3. What is left to find are links between components: for each token, nodes outside
-   the token's most frequent component are joined with all others of another
-   component, filtered and verified likewise.  So a large group of near copies, which
-   step 2 makes one component, is never expanded into all its pairs, and no
-   link between components is lost.
+   groups' members, filtered by parity bitmaps and verified on whole sets.  Links give
+   components.
+3. What is left to find are links between components (``components.merged``): pairs of
+   nodes of different components that share a token, filtered and verified likewise.
+   So a large group of near copies is never expanded into all its pairs, and no link
+   between components is lost.
+
+A set's parity bitmap has one bit for each of 256 hash classes: whether the class has an
+odd number of its tokens.  Two sets differ in at least as many tokens as their bitmaps
+in bits, so the filter drops no pair that is similar enough.
 
 Defined cases: null or empty text has no n-grams and links with nothing; a null doc_id
 has no component; rows with equal doc_id count as one document for links; an empty
@@ -31,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightlens.llm import textvec as tv
-from freightlens.llm.components import components, crossing
+from freightlens.llm.components import merged
 from freightlens.llm.shared import table
 
 WORDS, PERCENT = 5, 80
 COUNTER_BITS, BLOCK = 18, 1 << 14
 BITMAP_BITS = 22
+BITS = ["g0", "g1", "g2", "g3"]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -104,7 +109,7 @@ def _prefix(n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFrame:
-    """doc_id, a hash of the text, set size n, a 128-bit sum of the set, and its prefix in order."""
+    """doc_id, a hash of the text, set size n, a 128-bit sum and the parity bitmap of the set, its prefix in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tv.slices(batches):
@@ -112,11 +117,13 @@ def prefixes(docs: DataFrame, k: int, percent: int, rank: np.ndarray) -> DataFra
             n = [len(s) for s in sets]
             sums = [[int(np.add.reduce(tv.mix(s ^ salt))) for s in sets] for salt in _ODD[:2]]
             cut = [s[: _prefix(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
+            odd = np.array([np.bincount((tv.mix(s ^ _ODD[2]) & np.uint64(255)).astype(np.int64), minlength=256) & 1 for s in sets], np.uint8)
+            bits = np.packbits(odd, axis=1, bitorder="little").view(np.int64)
             off = np.concatenate(([0], np.cumsum([len(c) for c in cut])))
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(cut), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *[pa.array(np.array(s, np.uint64).view(np.int64)) for s in sums], lists], names=["doc_id", "text_key", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *[pa.array(np.array(s, np.uint64).view(np.int64)) for s in sums], *[pa.array(bits[:, j]) for j in range(4)], lists], names=["doc_id", "text_key", "n", "s1", "s2", *BITS, "prefix"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, s1 long, s2 long, g0 long, g1 long, g2 long, g3 long, prefix array<long>")
 
 
 def _bitmap(ids: DataFrame) -> np.ndarray:
@@ -178,6 +185,12 @@ def _close(percent: int, m: F.Column, at: F.Column) -> F.Column:
     return (F.col("n") * 100 >= m * percent) & (m * 100 >= F.col("n") * percent) & (most * (100 + percent) >= need)
 
 
+def _few_odd(percent: int, m: F.Column, other) -> F.Column:
+    """Parity filter: the bitmaps differ in no more bits than similar sets of sizes n and m may."""
+    differ = sum((F.bit_count(F.col(g).bitwiseXOR(other(g))) for g in BITS), F.lit(0))
+    return differ * (100 + percent) <= (F.col("n") + m) * (100 - percent)
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document, and a hash of its text."""
     tv.bounded_batches(docs.sparkSession)
@@ -188,10 +201,10 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     full = sets.where("n > 0 AND doc_id IS NOT NULL")
     nodes = table(full.groupBy(*keys).agg(F.min("doc_id").alias("node")), "nodes")
 
-    first = full.join(nodes, keys).where("doc_id = node").select("node", "n", F.xxhash64("prefix").alias("ph"), "prefix")
+    first = full.join(nodes, keys).where("doc_id = node").select("node", "n", *BITS, F.xxhash64("prefix").alias("ph"), "prefix")
     first = table(first.dropDuplicates(["node", "n", "ph"]), "node-prefixes")
     groups = first.groupBy("n", "ph").agg(F.min("node").alias("grp"), F.count("*").alias("size"))
-    members = table(first.select("node", "n", "ph").join(groups, ["n", "ph"]).select("grp", "node", "n", "size"), "members")
+    members = table(first.select("node", "n", "ph", *BITS).join(groups, ["n", "ph"]).select("grp", "node", "n", "size", *BITS), "members")
     alone = first.join(groups, ["n", "ph"]).where("node = grp")
     posts = alone.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
@@ -207,15 +220,17 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     # groups to members: each member with the other group's first, and with its own group's first
     pairs = stars.join(members.select("grp", "node"), "grp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     pairs = pairs.unionAll(members.where("node <> grp").select(F.col("node").alias("a"), F.col("grp").alias("b")))
+    bits = members.select("node", "n", *BITS)
+    pairs = pairs.distinct().join(bits.withColumnRenamed("node", "a"), "a")
+    pairs = pairs.join(bits.select(F.col("node").alias("b"), F.col("n").alias("m"), *[F.col(g).alias(f"_{g}") for g in BITS]), "b")
+    pairs = pairs.where(_few_odd(percent, F.col("m"), lambda g: F.col(f"_{g}")))
     links = verified(docs, pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), k, percent)
-    comps = components(links)
 
     # between components: all members of all groups, under the prefix's tokens and the group itself
     wide = rated.select("token", "grp", "pos").unionAll(members.where("size > 1 AND node = grp").select(F.xxhash64("grp", F.lit("group")).alias("token"), "grp", F.lit(0).alias("pos")))
     entries = wide.join(members.select("grp", "node", "n"), "grp").select("token", "node", "n", "pos")
-    rest = crossing(entries, comps, ["n", "pos"], lambda c: _close(percent, c("n"), c("pos")))
-    more = verified(docs, rest, k, percent)
-    comps = components(links.unionAll(more))
+    near = lambda c: _close(percent, c("n"), c("pos")) & _few_odd(percent, c("n"), c)
+    comps = merged(entries, links, ["n", "pos", *BITS], near, lambda pairs: verified(docs, pairs, k, percent), bits.drop("n"))
 
     final = nodes.join(comps, "node", "left").select(*keys, F.coalesce("comp", "node").alias("component_id"))
     linked = full.select("doc_id", "text_key", *keys).join(final, keys).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "text_key")
