@@ -96,11 +96,10 @@ def test_ngram_join_messy(spark):
 
 def brute_lines(spark, docs):
     """Linked lines by comparing all pairs; SimHashes are those of Spark."""
-    from pyspark.sql import functions as F
-
     from freightlens.llm import line_dedup as ld
 
-    rows = ld.occurrences(docs).select("doc_id", "pos", "line", ld.simhash(F.split("line", " ")).alias("sim")).collect()
+    found = ld.occurrences(docs)
+    rows = found.join(ld.simhashes(found, ["id"]), "id").select("doc_id", "pos", "line", "sim").collect()
     lines = list({r.line: np.int64(r.sim).astype(np.uint64) for r in rows}.items())
     sims = np.array([s for _, s in lines], np.uint64)
     groups = Sets()
@@ -154,12 +153,13 @@ def test_line_dedup(spark, source):
 def test_simhash(spark):
     from pyspark.sql import functions as F
 
-    from freightlens.llm.line_dedup import simhash
+    from freightlens.llm.line_dedup import simhashes
 
     texts = ["a b c d e f g", "one", "x y " * 20_000]
-    df = spark.createDataFrame([(t.strip(),) for t in texts], "t string").select(F.split("t", " ").alias("w"))
-    got = df.select(simhash(F.col("w")).alias("s"), F.transform("w", lambda w: F.xxhash64(w)).alias("h")).collect()
-    for r in got:
+    df = spark.createDataFrame([(t.strip(),) for t in texts], "line string")
+    rows = simhashes(df, ["line"]).select(F.col("sim").alias("s"), F.transform(F.array_distinct(F.split("line", " ")), lambda w: F.xxhash64(w)).alias("h")).collect()
+    assert len(rows) == 3
+    for r in rows:
         h = np.array(r.h, np.int64).view(np.uint64)
         bits = [(2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h)) << b for b in range(64)]
         assert np.int64(r.s).astype(np.uint64) == np.uint64(sum(bits))
