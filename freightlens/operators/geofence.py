@@ -24,7 +24,7 @@ def fences_from_locations(locations: DataFrame, radius_km: float = 50.0) -> Data
     return locations.select(
         F.col("location_name").alias("fence_id"), F.col("latitude").alias("lat"),
         F.col("longitude").alias("lon"), F.lit(float(radius_km)).alias("radius_km"),
-    ).where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).dropDuplicates(["fence_id"])
+    ).where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).dropDuplicates(["fence_id", "lat", "lon"])
 
 
 def fence_cells(fences: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:

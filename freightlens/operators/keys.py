@@ -1,10 +1,11 @@
 """Dense surrogate keys without a single-partition window.
 
-Range-partition by the natural key, sort within partitions, read each row's
-position from ``monotonically_increasing_id`` (partition id in the upper
-bits, row number in the lower 33), then add per-partition offsets from a
-table with one row per partition.  Equals ``row_number() OVER (ORDER BY
-key)`` but every step is distributed.
+Range-partition by the natural key, sort within partitions, and write each
+row's position (``monotonically_increasing_id``: partition id in the upper
+bits, row number in the lower 33) once as a table in the shared folder; then
+add per-partition offsets from a table with one row per partition.  Equals
+``row_number() OVER (ORDER BY key)`` but every step is distributed, and both
+readers of the positions see the same ones.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _join_ns(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Inner join on ``cols`` treating NULL = NULL."""
@@ -29,15 +32,14 @@ def sequential_ids(df: DataFrame, order_cols: Sequence[str], out: str, partition
     """Dense 1-based ids in ``order_cols`` order (NULLs last).  ``order_cols``
     must be unique per row (a natural key).
 
-    Only the key columns are range-partitioned: the position branch and the
-    per-partition count branch then read the very same exchange (one
-    sampling of the range bounds), and the ids are joined back on the key."""
+    Only the key columns are range-partitioned; the ids (bigint) are joined
+    back on the key."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = [F.col(c).asc_nulls_last() for c in order_cols]
     keys = df.select(*order_cols)
     r = keys.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered)
-    r = r.withColumn("_mid", F.monotonically_increasing_id())
+    r = materialize(r.withColumn("_mid", F.monotonically_increasing_id()), "positions")
     r = r.withColumns(
         {"_pid": F.shiftright(F.col("_mid"), 33), "_pos": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
     )
@@ -51,6 +53,6 @@ def sequential_ids(df: DataFrame, order_cols: Sequence[str], out: str, partition
     # One row per partition: a bounded broadcast.
     ids = (
         r.join(F.broadcast(offsets), "_pid")
-        .select(*order_cols, (F.col("_off") + F.col("_pos") + 1).cast("int").alias(out))
+        .select(*order_cols, (F.col("_off") + F.col("_pos") + 1).cast("bigint").alias(out))
     )
     return _join_ns(df, ids, list(order_cols))

@@ -42,7 +42,7 @@ def profile_counts(df: DataFrame) -> DataFrame:
         F.date_format(F.max("booking_date"), "yyyy-MM-dd HH:mm:ss").alias("booking_max"),
     )
     med = exact_quantiles(pings_per_booking(df), "pings", [0.5], names=["median_pings_per_booking"])
-    out = base.crossJoin(F.broadcast(med))  # two single-row aggregates
+    out = base.join(F.broadcast(med), F.lit(True), "left")  # one row with at most one: no bookings give a NULL median
     return out.withColumn(
         "gps_tracking_mode",
         F.when(F.col("median_pings_per_booking") <= 1.5, "snapshot").otherwise("multi_ping_trajectory"),

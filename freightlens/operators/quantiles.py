@@ -2,17 +2,19 @@
 
 Spark's ``percentile`` merges a map of every distinct value into one final
 task per group, which is unbounded for continuous values or a hot group.
-Here the values are range-partitioned and sorted by (group, value); each
-row's rank inside its group comes from its position in the partition plus
-per-(partition, group) offsets (a table with at most #groups + #partitions
-rows).  The ranks at floor/ceil of q (n - 1) are then picked and linearly
-interpolated: the same answer as ``percentile`` / ``quantile_cont``.
+Here equal values are counted first (map-side combine), so a value that most
+rows share is one row.  Distinct values are put in buckets by split points
+fixed once as literals, bucket counts give the ranks at which each bucket
+starts, and only buckets that hold a wanted rank (floor / ceil of q (n - 1))
+are ranked inside.  The same answer as ``percentile`` / ``quantile_cont``,
+whether or not Spark reuses an exchange: the bucket depends on the value alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,52 +29,51 @@ def _join_ns(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFram
     return left.join(ren, cond, "inner").drop(*[f"_r_{c}" for c in cols])
 
 
+def _buckets(values: DataFrame, count: int) -> DataFrame:
+    """``values`` with ``_b``, an order-preserving bucket of ``_x``.  At most ``count - 1``
+    split points go through the driver."""
+    probs = [i / count for i in range(1, count)]
+    got = values.select(F.percentile_approx("_x", probs, 10_000)).first()[0] or []
+    splits = sorted({x for x in got if x == x and abs(x) != float("inf")})
+    if not splits:
+        return values.withColumn("_b", F.lit(0.0))
+    cut = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_x", outputCol="_b", handleInvalid="keep")
+    return cut.transform(values)
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], groups: Sequence[str] = (),
                     names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
     """One row per group with one column per quantile (NULL values ignored;
     a group without values is absent)."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = max(2, partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = list(names or [f"q{i}" for i in range(len(qs))])
     g = list(groups)
-    key = g if g else []
     v = df.where(F.col(value).isNotNull()).select(*g, F.col(value).cast("double").alias("_x"))
+    key = g
     if not g:
-        v = v.withColumn("_g", F.lit(0))
-        key = ["_g"]
-    order = [F.col(c).asc_nulls_last() for c in key] + [F.col("_x")]
-    r = v.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    r = r.withColumn("_mid", F.monotonically_increasing_id()).withColumns(
-        {"_pid": F.shiftright("_mid", 33), "_pos": F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))}
-    )
-    # (partition, group) blocks: size, first position, offset inside the group
-    blocks = r.groupBy("_pid", *key).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_p0"))
-    wg = Window.partitionBy(*key).orderBy("_pid")
-    blocks = blocks.select(
-        "_pid", *key, "_p0", "_cnt",
-        F.coalesce(F.sum("_cnt").over(wg.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        v, key = v.withColumn("_g", F.lit(0)), ["_g"]
+    vc = _buckets(v.groupBy(*key, "_x").agg(F.count(F.lit(1)).alias("_c")), count)
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = vc.groupBy(*key, "_b").agg(F.sum("_c").alias("_cnt")).select(
+        *key, "_b", "_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
         F.sum("_cnt").over(Window.partitionBy(*key)).alias("_n"),
     )
-    # wanted ranks per block: floor/ceil of q (n - 1), mapped to (partition, position)
-    want = blocks.select(
-        "_pid", *key, "_p0", "_cnt", "_off", "_n",
-        F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("_q"),
-    ).withColumn("_h", F.col("_q") * (F.col("_n") - 1))
-    want = want.select(
-        "*", F.explode(F.array(F.floor("_h"), F.ceil("_h"))).alias("_rank")
-    ).where((F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_cnt")))
-    targets = want.select(
-        "_pid", (F.col("_p0") + F.col("_rank") - F.col("_off")).alias("_pos"), *[F.col(c).alias(f"_t_{c}") for c in key],
-        "_q", "_h", "_rank",
+    # wanted ranks, each in the bucket that holds it
+    want = blocks.select("*", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("_q"))
+    want = want.withColumn("_h", F.col("_q") * (F.col("_n") - 1))
+    want = want.select("*", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))).alias("_rank")).where(
+        (F.col("_rank") >= F.col("_off")) & (F.col("_rank") < F.col("_off") + F.col("_cnt"))
+    )
+    hot = want.groupBy(*key, "_b", "_off").agg(F.collect_list(F.struct("_q", "_h", "_rank")).alias("_want"))
+    inside = Window.partitionBy(*key, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _join_ns(vc, hot, [*key, "_b"]).withColumn("_to", F.col("_off") + F.sum("_c").over(inside))
+    picked = ranked.select(*key, "_x", "_c", "_to", F.inline("_want")).where(
+        (F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_c"))
     )
-    # a few rows per group and quantile; every other row is dropped by the join
-    picked = r.select("_pid", "_pos", "_x").join(targets, ["_pid", "_pos"])
-    per_q = picked.groupBy(*[f"_t_{c}" for c in key], "_q").agg(
-        F.min_by("_x", "_rank").alias("_xlo"), F.max_by("_x", "_rank").alias("_xhi"),
-        F.first("_h").alias("_h"),
+    per_q = picked.groupBy(*key, "_q").agg(
+        F.min_by("_x", "_rank").alias("_xlo"), F.max_by("_x", "_rank").alias("_xhi"), F.first("_h").alias("_h")
     )
     val = F.col("_xlo") + (F.col("_h") - F.floor("_h")) * (F.col("_xhi") - F.col("_xlo"))
-    out = per_q.groupBy(*[f"_t_{c}" for c in key]).pivot("_q", [float(q) for q in qs]).agg(F.first(val))
-    out = out.select(*[F.col(f"_t_{c}").alias(c) for c in key],
-                     *[F.col(f"`{float(q)}`").alias(nm) for q, nm in zip(qs, names)])
+    out = per_q.groupBy(*key).pivot("_q", [float(q) for q in qs]).agg(F.first(val))
+    out = out.select(*[F.col(c) for c in key], *[F.col(f"`{float(q)}`").alias(nm) for q, nm in zip(qs, names)])
     return out.drop("_g") if not g else out

@@ -68,7 +68,7 @@ def rec_lanes(df: DataFrame, route_min: int = 20, lane_min: int = 25, k: int = 3
     )
     lane = route_label(F.col("route_id"))
     return _rec(worst, "N2", "P0", F.concat(F.lit("Lane recovery plan: "), lane), "Lane on-time rate (%)",
-                lane, F.col("total_bookings"), F.col("ontime_rate_pct"), F.col("avg_delay_hours"), F.lit(50.0))
+                F.col("route_id"), F.col("total_bookings"), F.col("ontime_rate_pct"), F.col("avg_delay_hours"), F.lit(50.0))
 
 
 def rec_suppliers(df: DataFrame, min_n: int = 40, k: int = 3) -> DataFrame:
@@ -80,7 +80,7 @@ def rec_suppliers(df: DataFrame, min_n: int = 40, k: int = 3) -> DataFrame:
     )
     name = F.substring(F.col("supplier_name").cast("string"), 1, 40)
     return _rec(worst, "N3", "P1", F.concat(F.lit("Carrier corrective action: "), name),
-                "Supplier segment OTIF (%)", name, F.col("total_bookings"), F.col("ontime_rate_pct"),
+                "Supplier segment OTIF (%)", F.col("supplier_name"), F.col("total_bookings"), F.col("ontime_rate_pct"),
                 F.col("avg_delay_hours"), None)
 
 

@@ -10,12 +10,10 @@ Catalyst/AQE re-planning the dominant cost of multi-join jobs).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_shipments
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 from ..operators.features import engineer_features
 from ..sources import fixtures
 
@@ -26,18 +24,6 @@ def _key(spark: SparkSession, sf_dir: str, name: str):
     return (id(spark), sf_dir.rstrip("/"), name)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as a Parquet table under the cluster's checkpoint folder
-    and read it back: lineage is cut, a lost executor re-reads files, and
-    later jobs get column pruning and true size statistics (so Catalyst's
-    broadcast decisions see the real size)."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _memo(spark: SparkSession, sf_dir: str, name: str, build, persist: bool) -> DataFrame:
     k = _key(spark, sf_dir, name)
     if k not in _FRAMES:

@@ -181,7 +181,7 @@ _LANE = ("CASE WHEN length(replace(route_id, '→', ' to ')) > 55 THEN substr(re
          " || '...' ELSE replace(route_id, '→', ' to ') END")
 Q["rec_lanes"] = _on(N.rec_lanes)
 SQL["rec_lanes"] = with_enriched(
-    rec_sql("N2", "P0", f"'Lane recovery plan: ' || {_LANE}", "Lane on-time rate (%)", _LANE, "total_bookings",
+    rec_sql("N2", "P0", f"'Lane recovery plan: ' || {_LANE}", "Lane on-time rate (%)", "route_id", "total_bookings",
             "ontime_rate_pct", "avg_delay_hours", "50.0e0",
             f"(SELECT * FROM ({segment_sql('route_id', 20)}) WHERE total_bookings >= 25 "
             "ORDER BY ontime_rate_pct, total_bookings DESC, route_id LIMIT 3)")
@@ -190,7 +190,7 @@ SQL["rec_lanes"] = with_enriched(
 Q["rec_suppliers"] = _on(N.rec_suppliers)
 SQL["rec_suppliers"] = with_enriched(
     rec_sql("N3", "P1", "'Carrier corrective action: ' || substr(supplier_name, 1, 40)", "Supplier segment OTIF (%)",
-            "substr(supplier_name, 1, 40)", "total_bookings", "ontime_rate_pct", "avg_delay_hours", "NULL",
+            "supplier_name", "total_bookings", "ontime_rate_pct", "avg_delay_hours", "NULL",
             f"(SELECT * FROM ({segment_sql('supplier_name', 40)}) "
             "ORDER BY ontime_rate_pct, total_bookings DESC, supplier_name LIMIT 3)")
 )

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, partitions: int = 8, app: str = "freightlens") -> SparkSession:
+    """A session; the master is the submit command's unless one is named here."""
+    builder = SparkSession.builder if master is None else SparkSession.builder.master(master)
     builder = (
-        SparkSession.builder.master(master or os.environ.get("SPARK_MASTER", "local[8]"))
-        .appName(app)
+        builder.appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -35,7 +37,9 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "frei
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only if unset."""
+    """The shared folder the cluster names; a scratch one only where driver and
+    executors are one process (``local``).  Elsewhere an unset folder is an error:
+    executors would write to their own disks."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -44,7 +48,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="freightlens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a Parquet table under the cluster's checkpoint folder
+    and read it back: lineage is cut, a lost executor re-reads files, and
+    later jobs get column pruning and true size statistics (so Catalyst's
+    broadcast decisions see the real size)."""
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -23,17 +23,9 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """Scan one driver table.  With ``spread``, an input that arrives in
-    fewer splits than the cluster's parallelism (a single-row-group file)
-    is spread round-robin; a large input with many splits is left alone, so
-    no extra shuffle is added at scale and no key is hashed (no skew)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread:
-        target = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Scan one driver table; its splits are the reader's."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shipments(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
@@ -43,7 +35,7 @@ def shipments(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = Non
     discount, tax) used as the final dedupe tie-break.  ``lineitem`` may be
     a streaming DataFrame (the other tables then join as static sides).
     """
-    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem", spread=True)).select(
+    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
     )
@@ -144,7 +136,7 @@ def gps_pings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
     ``ingest_ts`` lags the ping by ``event_id % 120`` seconds.  ``events``
     may be a streaming DataFrame.
     """
-    ev = (events if events is not None else table(spark, sf_dir, "events", spread=True)).select(
+    ev = (events if events is not None else table(spark, sf_dir, "events")).select(
         "event_id", "ts", "user_id", "event_type"
     )
     uid, eid = F.col("user_id"), F.col("event_id")

@@ -19,20 +19,24 @@ from ..config import (
 )
 
 
+def _read_sheet(spark: SparkSession, path: str, schema: T.StructType, fmt: str, options: dict) -> DataFrame:
+    """All-text columns by header name: declared ones that are missing are NULL, extra ones follow."""
+    reader = spark.read.format(fmt).options(**options)
+    if fmt != "csv":
+        return reader.load(path)
+    sheet = reader.option("header", "true").option("inferSchema", "false").load(path)
+    known = [F.col(f"`{f.name}`") if f.name in sheet.columns else F.lit(None).cast("string").alias(f.name) for f in schema]
+    return sheet.select(*known, *[F.col(f"`{c}`") for c in sheet.columns if c not in schema.names])
+
+
 def read_shipments(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
-    """Scan the primary sheet with the declared all-text raw schema."""
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.schema(RAW_SHIPMENT_SCHEMA).option("header", "true")
-    return reader.options(**options).load(path)
+    """Scan the primary sheet; columns go by their header."""
+    return _read_sheet(spark, path, RAW_SHIPMENT_SCHEMA, fmt, options)
 
 
 def read_dictionary(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
     """Scan the data dictionary sheet (field, description)."""
-    reader = spark.read.format(fmt)
-    if fmt == "csv":
-        reader = reader.schema(DICTIONARY_SCHEMA).option("header", "true")
-    return reader.options(**options).load(path)
+    return _read_sheet(spark, path, DICTIONARY_SCHEMA, fmt, options)
 
 
 def canonical_names(df: DataFrame) -> DataFrame:
@@ -50,11 +54,12 @@ def _to_timestamp(col: Column, dtype: T.DataType) -> Column:
 
 
 def _to_double(col: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.DoubleType):
-        return col
     if isinstance(dtype, T.NumericType):
-        return col.cast("double")
-    return F.trim(col.cast("string")).try_cast("double")
+        x = col.cast("double")
+    else:
+        x = F.trim(col.cast("string")).try_cast("double")
+    # missing is NULL: not-a-number and infinite texts are no measurements
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
 def coerce_types(df: DataFrame) -> DataFrame:

@@ -326,8 +326,6 @@ def run_update(stream: DataFrame, name: str, keys: list[str], mode: str = "updat
         .outputMode(mode).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    try:
-        logged = spark.read.parquet(f"{root}/out").drop("batch")
-    except Exception:  # noqa: BLE001 - no micro-batch wrote a folder
-        return spark.createDataFrame([], stream.schema)
+    spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0)).write.mode("overwrite").parquet(f"{root}/out/batch=-1")
+    logged = spark.read.parquet(f"{root}/out").drop("batch")
     return keep_first(logged, keys, [-F.col("_batch")]).drop("_batch")

@@ -1,3 +1,4 @@
+import pytest
 from datetime import datetime, timedelta
 
 from pyspark.sql import Window
@@ -106,3 +107,37 @@ def test_sequential_ids_with_sampled_range_bounds(spark):
     w = Window.orderBy("name")
     want = df.select("name", F.row_number().over(w).alias("id"), "payload")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+@pytest.fixture
+def no_reuse(spark):
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    yield spark
+    spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_quantiles_and_ids_do_not_need_exchange_reuse(no_reuse):
+    from pyspark.sql import functions as F
+
+    from freightlens.operators.quantiles import exact_quantiles
+
+    df = no_reuse.range(0, 200_000, 1, 6).select((F.xxhash64("id") % 1_000_003).cast("double").alias("x"), (F.col("id") % 3).alias("g"))
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).collect()}
+    got = {r.g: [r.a, r.b] for r in exact_quantiles(df, "x", [0.1, 0.5], ["g"], ["a", "b"]).collect()}
+    assert all(abs(x - y) < 1e-6 for g in want for x, y in zip(want[g], got[g]))
+    ids = sequential_ids(df.select("x").distinct(), ["x"], "id", partitions=7).orderBy("x").collect()
+    assert [r.id for r in ids] == list(range(1, len(ids) + 1))
+
+
+def test_quantiles_of_equal_values_and_of_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from freightlens.operators.profile import profile_counts
+    from freightlens.operators.quantiles import exact_quantiles
+
+    same = spark.range(1000).select(F.lit(7.0).alias("x"))
+    assert exact_quantiles(same, "x", [0.25, 0.5], names=["a", "b"]).collect() == [(7.0, 7.0)]
+    assert exact_quantiles(same.limit(0), "x", [0.5]).collect() == []
+    none = spark.createDataFrame([], "booking_id string, booking_date timestamp")
+    row = profile_counts(none).collect()
+    assert len(row) == 1 and row[0].row_count == 0 and row[0].median_pings_per_booking is None

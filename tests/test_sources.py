@@ -1,27 +1,53 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
+import pytest
 
-from freightlens.sources import fixtures
-from freightlens.sources.shipments import coerce_types, load_shipments
+from freightlens.config import COLUMN_MAP, DICTIONARY_SCHEMA
+from freightlens.session import ensure_checkpoint_dir, is_local
+from freightlens.sources.shipments import coerce_types, load_shipments, read_dictionary, read_shipments
 
 
-def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+def test_sheet_columns_go_by_header(spark):
+    folder = tempfile.mkdtemp(prefix="fl-src-")
+    with open(os.path.join(folder, "sheet.csv"), "w") as f:
+        f.write("Extra,Vehicle Registration,Booking ID\nx,R1,B1\n")
+    out = load_shipments(read_shipments(spark, folder))
+    row = out.first()
+    assert (row.booking_id, row.vehicle_registration, row.Extra) == ("B1", "R1", "x")
+    names = {n for n in COLUMN_MAP.values()}
+    assert names <= set(out.columns) and row.supplier_name is None
+    with open(os.path.join(tempfile.mkdtemp(prefix="fl-src-"), "d.csv"), "w") as f:
+        f.write("description,field\nan id,booking_id\n")
+    fields = [x.name for x in DICTIONARY_SCHEMA]
+    got = read_dictionary(spark, f.name)
+    assert got.columns[: len(fields)] == fields
 
 
-def test_spread_only_under_split_inputs(spark):
-    base = tempfile.mkdtemp(prefix="fl-src-")
-    many = spark.range(0, 4000).repartition(16)
-    many.write.mode("overwrite").parquet(os.path.join(base, "many.parquet"))
-    spark.range(0, 4000).coalesce(1).write.mode("overwrite").parquet(os.path.join(base, "one.parquet"))
-    split_ok = fixtures.table(spark, base, "many", spread=True)
-    assert "Exchange" not in _plan(split_ok)  # enough splits: no extra shuffle
-    assert split_ok.count() == 4000
-    if spark.sparkContext.defaultParallelism > 1:
-        spread = fixtures.table(spark, base, "one", spread=True)
-        assert "Exchange" in _plan(spread) and spread.count() == 4000
+def test_not_a_number_and_infinity_are_missing(spark):
+    raw = spark.createDataFrame([("nan",), ("Infinity",), ("-inf",), ("3.5",)], "`Transportation Distance (KM)` string")
+    assert [r[0] for r in load_shipments(raw).collect()] == [None, None, None, 3.5]
+    typed = spark.createDataFrame([(float("nan"),), (2.0,)], "distance_km double")
+    assert [r[0] for r in coerce_types(typed).collect()] == [None, 2.0]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())
+    assert is_local("local[4]") and is_local("local") and not is_local("local-cluster[1,1,1]")
 
 
 def test_text_sheet_coercion_bad_values_become_null(spark):
