@@ -32,7 +32,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
-MIX = 8
+MIX, SHARE = 8, 8
 
 
 def _open(entries: DataFrame, comps: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def _pairs(a: DataFrame, b: DataFrame, on: list[str], carried: list[str], near)
     return pairs.select(F.greatest("node", "_node").alias("a"), F.least("node", "_node").alias("b")).distinct()
 
 
-def merged(entries: DataFrame, links: DataFrame, carried: list[str], near, verify, of_node: DataFrame | None = None, mixes: int = 2) -> DataFrame:
+def merged(entries: DataFrame, links: DataFrame, carried: list[str], near, verify, of_node: DataFrame | None = None, mixes: int = 3) -> DataFrame:
     """Components of all links between nodes that share a token and are near, given some of them.
 
     ``entries`` has token, node and the carried columns; ``near`` gets a function from
@@ -56,10 +56,10 @@ def merged(entries: DataFrame, links: DataFrame, carried: list[str], near, verif
     links among pairs (a, b).  Carried columns that are in ``of_node`` (node and
     columns) are joined to the tokens that remain.
 
-    Only pairs of different components are looked at.  First, ``mixes`` times, each
-    token's entries are dealt at random into small parts of about MIX entries, and
-    the pairs inside the parts are verified: a dense group becomes one component by
-    few pairs for each node.  Then, for completeness, nodes outside their token's most
+    Only pairs of different components are looked at.  First, ``mixes`` times, one in
+    SHARE of each token's entries, picked by hash, are dealt into small parts of about
+    MIX entries, and the pairs inside the parts are verified: a dense group becomes one
+    component by a few pairs for each node.  What that leaves out is found next.  Then, for completeness, nodes outside their token's most
     frequent component are joined with all of another component.  A token that one
     component holds alone gives nothing, so no group is expanded into all its pairs.
     """
@@ -69,8 +69,9 @@ def merged(entries: DataFrame, links: DataFrame, carried: list[str], near, verif
         if of_node is not None:
             some, of_node = some.join(of_node, "node"), None
         some = table(some, "open-entries")
-        sizes = some.groupBy("token").agg(F.ceil(F.count("*") / MIX).alias("parts"))
-        dealt = some.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("node", "token", F.lit(seed)), F.col("parts"))).drop("parts")
+        few = some.where(F.pmod(F.xxhash64(F.lit(seed), "node", "token"), F.lit(SHARE)) == 0)
+        sizes = few.groupBy("token").agg(F.ceil(F.count("*") / MIX).alias("parts"))
+        dealt = few.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("node", "token", F.lit(seed)), F.col("parts"))).drop("parts")
         links = table(links.unionAll(verify(_pairs(dealt, dealt, ["token", "part"], carried, near))), "all-links")
         comps = components(links)
         entries = some.drop("comp")

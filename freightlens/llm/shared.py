@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from freightlens.session import ensure_checkpoint_dir
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -17,11 +18,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the folder all executors share and read it back.
 
     This cuts the lineage, survives lost executors, and gives later joins the
-    table's real size.
+    table's real size.  The write's shuffle files are removed when it is done; they are
+    of no use once the table is there.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
