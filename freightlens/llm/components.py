@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from freightlens.llm.shared import table
 
 
-def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether each node has one link (a, b) down, or only links from above."""
+    up = F.col("up")
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))))
+    return ends.groupBy("node").agg(F.sum(up).alias("up"), F.min(up).alias("least")).where("up > 1 OR (up = 1 AND least = 0)").isEmpty()
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, comp) of every node that has a link (a, b); comp is the least node of its component.
 
     Each round is two group-bys with map-side minima and a join; the links of a round
@@ -16,8 +23,7 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     """
     pairs = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = table(pairs, "links")
-    state = None
-    for _ in range(most_rounds):
+    while not _are_stars(pairs):
         both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a AND b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -25,13 +31,21 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
         pairs = table(small, "small-star")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
-            break
-        state = now
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after further links (a, b): only links between components are gone through again."""
+    of = lambda end: comps.select(F.col("node").alias(end), F.col("comp").alias(f"{end}_comp"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = table(ends.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")).where("a <> b").distinct(), "component-links")
+    if between.isEmpty():
+        return comps
+    whole = table(components(between), "joined-components")
+    known = comps.join(whole.select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))
+    return table(known.unionAll(whole.join(comps, "node", "left_anti")), "components")
+
+
 MIX, SHARE = 8, 8
 
 
@@ -69,14 +83,15 @@ def merged(entries: DataFrame, links: DataFrame, carried: list[str], near, verif
         if of_node is not None:
             some, of_node = some.join(of_node, "node"), None
         some = table(some, "open-entries")
+        if some.isEmpty():
+            return comps
         few = some.where(F.pmod(F.xxhash64(F.lit(seed), "node", "token"), F.lit(SHARE)) == 0)
         sizes = few.groupBy("token").agg(F.ceil(F.count("*") / MIX).alias("parts"))
         dealt = few.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("node", "token", F.lit(seed)), F.col("parts"))).drop("parts")
-        links = table(links.unionAll(verify(_pairs(dealt, dealt, ["token", "part"], carried, near))), "all-links")
-        comps = components(links)
+        comps = joined(comps, verify(_pairs(dealt, dealt, ["token", "part"], carried, near)))
         entries = some.drop("comp")
     some = table(_open(entries, comps), "open-entries")
     sizes = some.groupBy("token", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
     outside = some.join(main, "token").where("comp <> main").drop("main")
-    return components(links.unionAll(verify(_pairs(outside, some, ["token"], carried, near))))
+    return joined(comps, verify(_pairs(outside, some, ["token"], carried, near)))

@@ -299,3 +299,35 @@ def test_pipeline_messy(spark):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, SF)
         docs.collect()
+
+
+def test_components_in_two_goes(spark):
+    import random
+
+    from freightlens.llm.components import components, joined
+
+    rng = random.Random(5)
+    first = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(90)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)] + [(None, 3), (7, 7)]
+
+    def brute(links):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            if a is not None and a != b:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+        return {x: find(x) for x in root}
+
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    rows = lambda df: sorted((r["node"], r["comp"]) for r in df.collect())
+    comps = components(frame(first))
+    assert rows(comps) == sorted(brute(first).items())
+    assert rows(joined(comps, frame(more))) == sorted(brute(first + more).items())
+    assert rows(joined(comps, frame([]))) == rows(comps)
+    assert rows(components(frame([]))) == []
