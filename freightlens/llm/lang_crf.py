@@ -1,8 +1,10 @@
 """Language identification of words by a linear-chain conditional random field.
 
 Every word is labelled with a language; a label's score is the sum of weights of the
-word's affixes (first and last 1 to 3 bytes), its byte trigrams and its lexicon
-entry, plus a learned transition weight from the label before.  Forward-backward
+word's affixes (first and last 1 to 3 bytes), all its byte trigrams and its lexicon
+entry, plus a learned transition weight from the label before.  A run without spaces of more
+than ``LONG + 3`` bytes counts as several words, ``LONG`` bytes or a little less or
+more each, cut between characters; they cover all of it, but for trigrams across a cut.  Forward-backward
 gives each word's marginals, so code-switched texts get a language per word; a text's
 language is the one with the largest sum of marginals over its words with a letter.
 
@@ -34,7 +36,9 @@ from freightlens.llm import textvec as tv
 SAMPLE, SAMPLE_WORDS = 400, 200
 ROWS_BITS, LEXICON_BITS = 15, 15
 MOST_LANGS = 64
-FEATURES = 6 + 4
+AFFIXES, LONG = 6, 32
+#: Words whose trigrams are summed at once.
+BLOCK = 2048
 CHUNK = 4 << 20
 
 
@@ -42,11 +46,32 @@ def _rows(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
-def word_features(w: tv.Words, at: np.ndarray) -> np.ndarray:
-    """Hashed feature rows of the words at these positions, FEATURES each; row 0 is unused."""
+def cut_words(w: tv.Words) -> tv.Words:
+    """The words, long runs as consecutive words."""
+    size = w.end - w.start
+    pieces = np.where(size > LONG + 3, -(-size // LONG), 1)
+    total = np.concatenate(([0], np.cumsum(pieces)))
+    if total[-1] == len(size):
+        return w
+    at = np.arange(total[-1]) - np.repeat(total[:-1], pieces)
+    start = np.repeat(w.start, pieces) + LONG * at
+    for _ in range(3):  # back to the character's first byte
+        start -= (at > 0) & ((w.data[start] & 0xC0) == 0x80)
+    until = np.append(start[1:], len(w.data))
+    end = until.copy()
+    end[total[1:] - 1] = w.end
+    return tv.Words(w.data, w.row_off, start, end, tv._word_hash(w.data, start, until, end), total[w.off])
+
+
+def split_words(col: pa.Array) -> tv.Words:
+    return cut_words(tv.split_words(col))
+
+
+def affixes(w: tv.Words, at: np.ndarray) -> np.ndarray:
+    """Hashed feature rows of the affixes of the words at these positions, AFFIXES each; row 0 is unused."""
     start, size = w.start[at], (w.end - w.start)[at]
     d = np.concatenate((w.data, np.zeros(8, np.uint8)))
-    out = np.zeros((len(at), FEATURES), np.int32)
+    out = np.zeros((len(at), AFFIXES), np.int32)
     for j in range(3):
         first, last = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
         for i in range(j + 1):
@@ -55,11 +80,25 @@ def word_features(w: tv.Words, at: np.ndarray) -> np.ndarray:
         ok = size > j
         out[:, 2 * j] = np.where(ok, _rows(tv.mix(first + np.uint64((2 * j + 1) << 40)), ROWS_BITS), 0)
         out[:, 2 * j + 1] = np.where(ok, _rows(tv.mix(last + np.uint64((2 * j + 2) << 40)), ROWS_BITS), 0)
-    # trigrams at four places spread over the word's inside
-    for j in range(4):
-        p = start + 1 + (np.maximum(size - 4, 0) * j) // 4
-        v = (d[p].astype(np.uint64) << np.uint64(16)) | (d[p + 1].astype(np.uint64) << np.uint64(8)) | d[p + 2].astype(np.uint64)
-        out[:, 6 + j] = np.where(size > 4 + j, _rows(tv.mix(v + np.uint64(9 << 40)), ROWS_BITS), 0)
+    return out
+
+
+def trigrams(w: tv.Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed feature rows of all byte trigrams of the words at these positions, and how many each word has."""
+    n = np.maximum((w.end - w.start)[at] - 2, 0)
+    p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - w.start[at], n)
+    v = (w.data[p].astype(np.uint64) << np.uint64(16)) | (w.data[p + 1].astype(np.uint64) << np.uint64(8)) | w.data[p + 2].astype(np.uint64)
+    return _rows(tv.mix(v + np.uint64(9 << 40)), ROWS_BITS), n
+
+
+def emissions(emission: np.ndarray, w: tv.Words, at: np.ndarray) -> np.ndarray:
+    """Sums of the feature rows' weights of the words at these positions."""
+    out = emission[affixes(w, at)].sum(1)
+    for a in range(0, len(at), BLOCK):
+        rows, n = trigrams(w, at[a : a + BLOCK])
+        some = np.flatnonzero(n)
+        if len(some):
+            out[a + some] += np.add.reduceat(emission[rows], (np.cumsum(n) - n)[some])
     return out
 
 
@@ -84,7 +123,7 @@ class Field:
     def scores(self, w: tv.Words) -> np.ndarray:
         """Each word's label scores; equal words are scored once."""
         _, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        s = self.emission[word_features(w, first)].sum(1) + self.scale * self.lexicon[_rows(w.hash[first], LEXICON_BITS)]
+        s = emissions(self.emission, w, first) + self.scale * self.lexicon[_rows(w.hash[first], LEXICON_BITS)]
         return s[inverse]
 
 
@@ -130,7 +169,7 @@ def lexicon_counts(langs: list[str]):
         rows, k = 1 << LEXICON_BITS, len(langs)
         total = np.zeros(rows * k, np.int64)
         for b in tv.slices(batches):
-            w = tv.split_words(b.column(0))
+            w = split_words(b.column(0))
             lang = np.array([number.get(x, -1) for x in b.column(1).to_pylist()], np.int64)[w.row]
             at = _rows(w.hash, LEXICON_BITS).astype(np.int64) * k + lang
             total += np.bincount(at[lang >= 0], minlength=rows * k)
@@ -161,8 +200,11 @@ def lexicon(training: DataFrame, langs: list[str]) -> np.ndarray:
 
 def _sequences(texts: list[tuple[str, int]], rng: np.random.Generator, count: int) -> tuple[list[str], list[np.ndarray]]:
     """Code-switched sequences: runs of words from texts of one or more languages."""
-    spans = [(t.split(), y) for t, y in texts]
-    spans = [(w, y) for w, y in spans if w]
+    spans = []
+    for t, y in texts:
+        w = split_words(pa.array([t], pa.large_string()))
+        raw = w.data.tobytes()
+        spans += [([raw[a:b].decode() for a, b in zip(w.start.tolist(), w.end.tolist())], y)] if len(w.start) else []
     out, labels = [], []
     for _ in range(count if spans else 0):
         words: list[str] = []
@@ -186,13 +228,14 @@ def fit(texts: list[tuple[str, int]], langs: list[str], lex: np.ndarray, sequenc
     seqs, labels = _sequences(texts, rng, sequences)
     for epoch in range(epochs):
         for i in np.array_split(rng.permutation(len(seqs)), max(1, len(seqs) // 64)):
-            w = tv.split_words(pa.array([seqs[j] for j in i], pa.large_string()))
+            w = split_words(pa.array([seqs[j] for j in i], pa.large_string()))
             y = np.concatenate([labels[j] for j in i]) if len(i) else np.zeros(0, int)
             if len(w.hash) != len(y) or len(y) == 0:
                 continue
-            x = word_features(w, np.arange(len(w.hash)))
+            every = np.arange(len(w.hash))
+            x, (tri, n_tri) = affixes(w, every), trigrams(w, every)
             lx = lex[_rows(w.hash, LEXICON_BITS)]
-            s = field.emission[x].sum(1) + field.scale * lx
+            s = emissions(field.emission, w, every) + field.scale * lx
             post, alpha = forward_backward(s, w.off, field.move)
             err = post.copy()
             err[np.arange(len(y)), y] -= 1
@@ -206,7 +249,8 @@ def fit(texts: list[tuple[str, int]], langs: list[str], lex: np.ndarray, sequenc
             np.add.at(gm, (y[to - 1], y[to]), -1.0)
             gm /= len(y)
             ge = np.zeros_like(field.emission)
-            np.add.at(ge, x.ravel(), np.repeat(err, FEATURES, axis=0))
+            np.add.at(ge, x.ravel(), np.repeat(err, AFFIXES, axis=0))
+            np.add.at(ge, tri, np.repeat(err, n_tri, axis=0))
             ge[0] = 0
             gs = float((err * lx).sum())
             g2e += ge * ge
@@ -220,7 +264,7 @@ def fit(texts: list[tuple[str, int]], langs: list[str], lex: np.ndarray, sequenc
 
 def label_rows(col: pa.Array, field: Field | None) -> tuple[list[str], np.ndarray]:
     """Each text's language and its share of the marginals."""
-    w = tv.split_words(col)
+    w = split_words(col)
     rows = len(w.row_off) - 1
     letters = has_letter(w)
     if field is None or len(w.hash) == 0:
@@ -239,7 +283,7 @@ def label_rows(col: pa.Array, field: Field | None) -> tuple[list[str], np.ndarra
 
 def word_labels(text: str, field: Field) -> list[tuple[str, str, float]]:
     """Each word of a text with its language and marginal."""
-    w = tv.split_words(pa.array([text], pa.large_string()))
+    w = split_words(pa.array([text], pa.large_string()))
     if len(w.hash) == 0:
         return []
     post, _ = forward_backward(field.scores(w), w.off, field.move)
