@@ -11,9 +11,12 @@ language is the one with the largest sum of marginals over its words with a lett
 The lexicon holds, for hashed words, the log share of each language in all training
 texts (``lexicon_rows`` hash rows; every task sums its own counts).  The field's
 weights are fitted in numpy by stochastic gradient on a bounded sample of training
-rows (``SAMPLE`` rows of each language, those with the least hash of doc_id), from
+rows (``SAMPLE`` rows of each language, those with the least hash of doc_id, and
+``SAMPLE_WORDS`` words of each from a hashed place), from
 whose texts code-switched sequences of several languages are put together, so that
-transitions are learned too.
+transitions are learned too: ``SEQUENCES``, or ``LANG_SEQUENCES`` for each language if that is
+more.  Every lang value of the training rows is a language; weights and the lexicon
+have a column for each, so memory grows with their number.
 
 Training rows have a text, a lang and crc32(doc_id as text) modulo 4 other than 2;
 lang, source and doc_id are never features.  A text that is null or has no letter is
@@ -35,7 +38,8 @@ from freightlens.llm import textvec as tv
 
 SAMPLE, SAMPLE_WORDS = 400, 200
 ROWS_BITS, LEXICON_BITS = 15, 15
-MOST_LANGS = 64
+#: Languages whose sample is taken in one job, and sequences the field is fitted on: in all and for each language, at least.
+LANGS_AT_ONCE, SEQUENCES, LANG_SEQUENCES = 32, 6000, 100
 AFFIXES, LONG = 6, 32
 #: Words whose trigrams are summed at once.
 BLOCK = 2048
@@ -220,7 +224,7 @@ def _sequences(texts: list[tuple[str, int]], rng: np.random.Generator, count: in
     return out, labels
 
 
-def fit(texts: list[tuple[str, int]], langs: list[str], lex: np.ndarray, sequences: int = 6000, epochs: int = 4, rate: float = 0.15, seed: int = 5) -> Field:
+def fit(texts: list[tuple[str, int]], langs: list[str], lex: np.ndarray, sequences: int = SEQUENCES, epochs: int = 4, rate: float = 0.15, seed: int = 5) -> Field:
     """Stochastic gradient on the conditional log likelihood (AdaGrad steps)."""
     rng, k = np.random.default_rng(seed), len(langs)
     field = Field(langs, np.zeros((1 << ROWS_BITS, k)), lex, 0.1, np.zeros((k, k)))
@@ -248,15 +252,17 @@ def fit(texts: list[tuple[str, int]], langs: list[str], lex: np.ndarray, sequenc
             gm = m * (alpha[to - 1].T @ (post[to] / (alpha[to - 1] @ m)))
             np.add.at(gm, (y[to - 1], y[to]), -1.0)
             gm /= len(y)
-            ge = np.zeros_like(field.emission)
-            np.add.at(ge, x.ravel(), np.repeat(err, AFFIXES, axis=0))
-            np.add.at(ge, tri, np.repeat(err, n_tri, axis=0))
-            ge[0] = 0
+            # only the rows that are met change
+            met, place = np.unique(np.concatenate((x.ravel(), tri)), return_inverse=True)
+            ge = np.zeros((len(met), k))
+            np.add.at(ge, place[: x.size], np.repeat(err, AFFIXES, axis=0))
+            np.add.at(ge, place[x.size :], np.repeat(err, n_tri, axis=0))
+            ge[met == 0] = 0
             gs = float((err * lx).sum())
-            g2e += ge * ge
+            g2e[met] += ge * ge
             g2m += gm * gm
             g2s += gs * gs
-            field.emission -= rate * ge / np.sqrt(g2e)
+            field.emission[met] -= rate * ge / np.sqrt(g2e[met])
             field.move -= rate * gm / np.sqrt(g2m)
             field.scale -= rate * gs / g2s**0.5
     return field
@@ -294,21 +300,24 @@ def word_labels(text: str, field: Field) -> list[tuple[str, str, float]]:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     training = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~held).select("doc_id", "text", "lang")
-    seen = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    langs = sorted(r["lang"] for r in seen)
+    langs = sorted(r["lang"] for r in training.select("lang").distinct().collect())
     if not langs:
         return None
     lex = lexicon(training, langs)
-    ids = None
-    for x in langs:
-        least = training.where(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        ids = least if ids is None else ids.unionAll(least)
-    # at most sample * MOST_LANGS ids; each text gives a bounded run of words from a hashed place
+    # each text gives a bounded run of words from a hashed place
     words = F.split(F.trim("text"), r"[\x20\x09-\x0D]+")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size(words) - SAMPLE_WORDS, F.lit(1))).cast("int") + 1
-    some = training.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "lang", F.array_join(F.slice(words, start, SAMPLE_WORDS), " ").alias("text")).collect()
+    some = []
+    for a in range(0, len(langs), LANGS_AT_ONCE):
+        ids, part = None, langs[a : a + LANGS_AT_ONCE]
+        for x in part:
+            least = training.where(F.col("lang") == x).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+            ids = least if ids is None else ids.unionAll(least)
+        found = training.where(F.col("lang").isin(part)).join(F.broadcast(ids.distinct()), "doc_id")
+        some += found.select("doc_id", "lang", F.array_join(F.slice(words, start, SAMPLE_WORDS), " ").alias("text")).collect()
     number = {x: i for i, x in enumerate(langs)}
-    return fit([(r["text"], number[r["lang"]]) for r in sorted(some, key=lambda r: (r["doc_id"], r["lang"], r["text"])) if r["lang"] in number], langs, lex)
+    texts = [(r["text"], number[r["lang"]]) for r in sorted(some, key=lambda r: (r["doc_id"], r["lang"], r["text"]))]
+    return fit(texts, langs, lex, max(SEQUENCES, LANG_SEQUENCES * len(langs)))
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -318,9 +327,10 @@ def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     tv.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     field = train(docs, sample)
+    most = CHUNK * 16 // max(16, len(field.langs) if field else 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tv.slices(batches, most=CHUNK):
+        for b in tv.slices(batches, most=most):
             named, score = label_rows(b.column(2), field)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(named, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -36,3 +36,13 @@ def test_language_of_unspaced_text(spark):
         rows.append((i, "".join(t), lang))
     got = [r for r in predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.held_out]
     assert len(got) > 20 and np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.95
+
+
+def test_more_than_64_languages(spark):
+    from freightlens.llm.lang_crf import predict
+
+    rng = np.random.default_rng(7)
+    own = [["".join(chr(97 + x) for x in rng.integers(0, 26, 6)) for _ in range(12)] for _ in range(70)]
+    rows = [(i, " ".join(own[i % 70][j] for j in rng.integers(0, 12, 20)), f"l{i % 70}") for i in range(70 * 12)]
+    got = [r for r in predict(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect() if r.held_out]
+    assert len(got) > 100 and np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.98
