@@ -99,11 +99,58 @@ def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_samples(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freightlens.llm.phrases import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g FROM w, range(1, 5) AS r(k) WHERE len(ws) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.*, j, b.f AS l, e.f AS r, (2000000::HUGEINT * a) // (b.f + e.f) AS score FROM c JOIN range(1, 4) AS q(j) ON j < c.k
+  JOIN f b ON b.lang = c.lang AND b.g = c.g[1:j] JOIN f e ON e.lang = c.lang AND e.g = c.g[j + 1:c.k]),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+parts AS (SELECT DISTINCT lang, g, a, c.g[i:i + m - 1] AS part FROM c, range(2, 4) AS x(m), range(1, 4) AS y(i) WHERE m < k AND i + m - 1 <= k),
+longer AS (SELECT lang, part, max(a) AS most FROM parts GROUP BY ALL),
+kept AS (SELECT worst.* FROM worst LEFT JOIN longer ON longer.lang = worst.lang AND longer.part = worst.g WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from freightlens.llm.token_align import align, pair_counts, weigh
+
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = align(docs, *files, columns=("groups", "links")).select("doc_id", "n_a", "n_b", "n_groups", digest, "links")
+    return weigh(aligned, pair_counts(docs, *files))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from freightlens.llm.byte_bpe import digests, encode
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return digests(encode(documents(spark, sf_dir), ranks), ranks)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_ngram_join, op3_secret_scans, op4_packing, op5_quality_classifier, op6_quality_rules,
-        op7_line_dedup, op8_sentencepiece_sampling, op9_fingerprints, op10_language_id,
+        op7_line_dedup, op8_sentencepiece_sampling, op9_fingerprints, op10_language_id, op11_phrases, op12_token_alignment, op13_byte_bpe,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": OP6_SQL, "op11_phrases": OP11_SQL}
