@@ -106,20 +106,28 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP11_SQL = r"""
-WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
-w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
-grams AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g FROM w, range(1, 5) AS r(k) WHERE len(ws) >= k),
-f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL),
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+  regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+pieces AS (SELECT doc, lang, generate_subscripts(ps, 1) AS piece, unnest(ps) AS p FROM d),
+lists AS (SELECT doc, lang, piece, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+words AS (SELECT doc, lang, piece, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM lists),
+near AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM words WINDOW o AS (PARTITION BY doc, piece ORDER BY pos)),
+f AS (SELECT lang, 1 AS k, w AS g, count(*) AS f FROM near GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || w2 AS g, count(*) FROM near WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 AS g, count(*) FROM near WHERE w3 IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 AS g, count(*) FROM near WHERE w4 IS NOT NULL GROUP BY ALL),
+often AS (SELECT * FROM f WHERE f >= 30),
 totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 30),
-cuts AS (SELECT c.*, j, b.f AS l, e.f AS r, (2000000::HUGEINT * a) // (b.f + e.f) AS score FROM c JOIN range(1, 4) AS q(j) ON j < c.k
-  JOIN f b ON b.lang = c.lang AND b.g = c.g[1:j] JOIN f e ON e.lang = c.lang AND e.g = c.g[j + 1:c.k]),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS ws FROM often WHERE k > 1),
+ways AS (SELECT lang, g, a, unnest(range(1, k)) AS j, ws, k FROM c),
+halves AS (SELECT lang, g, a, j, array_to_string(ws[1:j], ' ') AS lg, array_to_string(ws[j + 1:k], ' ') AS rg FROM ways),
+cuts AS (SELECT h.lang, h.g, a, j, b.f AS l, e.f AS r, (2000000::HUGEINT * a) // (b.f + e.f) AS score FROM halves h
+  JOIN often b ON b.lang = h.lang AND b.g = h.lg JOIN often e ON e.lang = h.lang AND e.g = h.rg),
 worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
-parts AS (SELECT DISTINCT lang, g, a, c.g[i:i + m - 1] AS part FROM c, range(2, 4) AS x(m), range(1, 4) AS y(i) WHERE m < k AND i + m - 1 <= k),
-longer AS (SELECT lang, part, max(a) AS most FROM parts GROUP BY ALL),
+inner2 AS (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS part FROM c, range(2, 4) AS x(m), range(1, 4) AS y(i) WHERE m < k AND i + m - 1 <= k),
+longer AS (SELECT lang, part, max(a) AS most FROM inner2 GROUP BY ALL),
 kept AS (SELECT worst.* FROM worst LEFT JOIN longer ON longer.lang = worst.lang AND longer.part = worst.g WHERE most IS NULL OR 100 * most < 80 * a),
-ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+ranked AS (SELECT lang, g AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
@@ -128,13 +136,14 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
 
+    from freightlens.llm.shared import table
     from freightlens.llm.token_align import align, pair_counts, weigh
 
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    docs = documents(spark, sf_dir)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    aligned = align(docs, *files, columns=("groups", "links")).select("doc_id", "n_a", "n_b", "n_groups", digest, "links")
-    return weigh(aligned, pair_counts(docs, *files))
+    aligned = align(documents(spark, sf_dir), *files, columns=("groups", "links"))
+    aligned = table(aligned.select("doc_id", "n_a", "n_b", "n_groups", digest, "links"), "links")
+    return weigh(aligned, pair_counts(aligned))
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

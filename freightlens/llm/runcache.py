@@ -25,10 +25,11 @@ def run_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class RunCache:
-    """For each 64-bit key a run in each of several flat arrays; emptied when it holds ``keep`` keys.
+    """For each 64-bit key a run in each of several flat arrays.
 
-    ``make(positions)`` is asked for the runs of keys that are absent and gives, for each
-    array, the runs end to end and their sizes.
+    When it would hold more than ``keep`` keys, those asked for twice since the last time stay (the
+    most frequent half of ``keep``) and the others go.  ``make(positions)`` is asked for the runs of
+    keys that are absent and gives, for each array, the runs end to end and their sizes.
     """
 
     def __init__(self, kinds: dict[str, type], keep: int):
@@ -37,9 +38,28 @@ class RunCache:
 
     def _clear(self) -> None:
         self.index = HashIndex()
+        self.hits = np.zeros(1 << 12, np.int32)
         self.flat = {k: np.zeros(1 << 14, t) for k, t in self.kinds.items()}
         self.off = {k: np.zeros(1 << 12, np.int64) for k in self.kinds}
 
+    def _shrink(self) -> None:
+        n = self.index.n
+        key = np.zeros(n, np.uint64)
+        used = self.index.val >= 0
+        key[self.index.val[used]] = self.index.key[used]
+        often = np.argsort(-self.hits[:n], kind="stable")[: self.keep // 2]
+        often = np.sort(often[self.hits[often] > 1])
+        runs = {k: self.run(k, often) for k in self.kinds}
+        self._clear()
+        self._add(key[often], runs)
+
+    def _add(self, keys: np.ndarray, runs: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        for name, (flat, sizes) in runs.items():
+            self._append(name, flat, sizes)
+        self.index.add(keys)
+        if self.index.n > len(self.hits):
+            self.hits = np.concatenate((self.hits, np.zeros(self.index.n, np.int32)))
+
     def _append(self, name: str, flat: np.ndarray, sizes: np.ndarray) -> None:
         n, at = self.index.n, int(self.off[name][self.index.n])
         while at + len(flat) > len(self.flat[name]):
@@ -54,14 +74,15 @@ class RunCache:
         at = self.index.find(keys)
         miss = np.flatnonzero(at < 0)
         if len(miss):
-            if self.index.n + len(miss) > self.keep:
-                self._clear()
-                miss = np.arange(len(keys))
             new, first = np.unique(keys[miss], return_index=True)
-            for name, (flat, sizes) in make(miss[first]).items():
-                self._append(name, flat, sizes)
-            self.index.add(new)
+            if self.index.n and self.index.n + len(new) > self.keep:
+                self._shrink()
+                at = self.index.find(keys)
+                miss = np.flatnonzero(at < 0)
+                new, first = np.unique(keys[miss], return_index=True)
+            self._add(new, make(miss[first]))
             at[miss] = self.index.find(keys[miss])
+        self.hits[: self.index.n] += np.bincount(at, minlength=self.index.n).astype(np.int32)
         return at
 
     def run(self, name: str, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ A unit met before comes from a cache; a text's groups are its units' groups end
 vocabulary is looked through for a piece that would join across; if it had one, whole
 texts would be the units.
 
-``pair_counts`` counts, over the corpus, the links of each pair of ids.  ``weigh`` gives each
+``pair_counts`` counts, over all aligned texts, the links of each pair of ids.  ``weigh`` gives each
 document the counts of its links.  The most frequent pairs, at most ``FREQUENT``, go to all
 tasks; a document's other pairs are joined with their counts by shuffle, and each of those is rarer than
 the frequent ones, so no key is hot.
@@ -40,6 +40,8 @@ from freightlens.llm.shared import table
 CACHE_UNITS = 400_000
 #: Units of more bytes are aligned each time.
 LONG = 256
+BLOCK_BYTES = 4096
+CHUNK_BYTES = 1 << 20
 #: Pairs of ids whose counts every task holds: 17 bytes each.
 FREQUENT = 1 << 18
 SCHEMA = {"doc_id": "long", "n_a": "long", "n_b": "long", "n_groups": "long", "groups": "string", "group_ends": "array<int>", "links": "array<bigint>"}
@@ -54,8 +56,9 @@ class Tokens:
     """Ids of strings, and the bytes of each id; ``add_space`` is what the tokenizer puts before a text itself."""
 
     def __init__(self, encode, token_bytes: list[bytes], splits: bool, add_space: bool):
-        self.encode, self.bytes, self.splits, self.add_space = encode, token_bytes, splits, add_space
+        self.encode, self.splits, self.add_space = encode, splits, add_space
         self.size = np.array([len(b) for b in token_bytes], np.int64)
+        self.start, self.flat = offsets(self.size)[:-1], np.frombuffer(b"".join(token_bytes), np.uint8)
 
 
 def byte_level(path: str) -> Tokens:
@@ -104,19 +107,24 @@ def with_space(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, new
 
 
-def unit_starts(data: np.ndarray, row_off: np.ndarray, splits: bool) -> np.ndarray:
-    """Row starts, and spaces after something that no tokenizer takes for white space."""
-    begin = np.zeros(len(data) + 1, bool)
-    if splits and len(data) > 3:
-        a = data
-        odd = a <= 0x20
-        odd[1:] |= (a[:-1] == 0xC2) & ((a[1:] == 0x85) | (a[1:] == 0xA0))
-        x, y, z = a[:-2], a[1:-1], a[2:]
+def odd_space(data: np.ndarray) -> np.ndarray:
+    """Where a character ends that some tokenizer may take for white space, or a control character."""
+    odd = data <= 0x20
+    if len(data) > 2:
+        x, y, z = data[:-2], data[1:-1], data[2:]
+        odd[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
         three = (x == 0xE1) & (((y == 0x9A) & (z == 0x80)) | ((y == 0xA0) & (z == 0x8E)))
         three |= (x == 0xE2) & (((y == 0x80) & ((z <= 0x8F) | (z >= 0xA8) & (z <= 0xAF))) | (y == 0x81) & ((z == 0x9F) | (z == 0xA0)))
         three |= (x == 0xE3) & (y == 0x80) & (z == 0x80) | (x == 0xEF) & (y == 0xBB) & (z == 0xBF)
         odd[2:] |= three
-        begin[1:-1] = (a[1:] == 0x20) & ~odd[:-1]
+    return odd
+
+
+def unit_starts(data: np.ndarray, row_off: np.ndarray, splits: bool) -> np.ndarray:
+    """Row starts, and spaces after something that no tokenizer takes for white space."""
+    begin = np.zeros(len(data) + 1, bool)
+    if splits and len(data) > 2:
+        begin[1:-1] = (data[1:] == 0x20) & ~odd_space(data)[:-1]
     begin[row_off] = True
     return np.flatnonzero(begin[:-1])
 
@@ -144,24 +152,58 @@ class Aligner:
 
     def __init__(self, a: Tokens, b: Tokens, keep: int = CACHE_UNITS):
         self.a, self.b, self.splits = a, b, a.splits and b.splits
+        # Every id in decimal, after a place for the mark before it.
+        written = [f"?{i}".encode() for i in range(max(len(a.size), len(b.size)))]
+        size = np.array([len(w) for w in written], np.int64)
+        self.digits, self.decimal = np.frombuffer(b"".join(written), np.uint8), (offsets(size)[:-1], size)
         self.cache = RunCache(self.KINDS, keep)
 
-    def _side(self, tok: Tokens, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids end to end, their numbers by unit, and which units they spell."""
-        texts = [u[tok.add_space :].decode("utf-8", "replace") for u in units]
-        got = tok.encode(texts)
-        spelt = np.array([b"".join([tok.bytes[i] for i in ids]) == u for ids, u in zip(got, units)], bool)
-        sizes = np.fromiter((len(ids) if ok else 0 for ids, ok in zip(got, spelt)), np.int64, len(got))
-        return np.fromiter((i for ids, ok in zip(got, spelt) if ok for i in ids), np.int64, int(sizes.sum())), sizes, spelt
-
-    def align_units(self, units: list[bytes]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """For the cache: group text, group ends, links, and counts of (A, B, groups, misspelt)."""
-        a, n_a, ok_a = self._side(self.a, units)
-        b, n_b, ok_b = self._side(self.b, units)
+    def _ids(self, tok: Tokens, text: bytes) -> np.ndarray | None:
+        """The ids that spell these bytes, if the tokenizer's do."""
+        ids = np.array(tok.encode([text[tok.add_space :].decode("utf-8", "replace")])[0], np.int64)
+        same = int(tok.size[ids].sum()) == len(text) and take_runs(tok.flat, tok.start[ids], tok.size[ids]).tobytes() == text
+        return ids if same else None
+
+    def _side(self, tok: Tokens, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of units laid end to end, their numbers by unit, and which units they spell.
+
+        Units are encoded some kilobytes at once: nothing joins across their starts, unless
+        a unit ends in white space, so a block ends there.
+        """
+        raw = data.tobytes()
+        new = np.ones(len(off) - 1, bool)
+        new[1:] = odd_space(data)[off[1:-1] - 1] | (off[1:-1] // BLOCK_BYTES != off[:-2] // BLOCK_BYTES)
+        if not self.splits:
+            new[:] = True
+        first = np.append(np.flatnonzero(new), len(off) - 1)
+        ids, n, ok = [], np.zeros(len(off) - 1, np.int64), np.ones(len(off) - 1, bool)
+        blocks = [raw[off[x] : off[y]] for x, y in zip(first[:-1], first[1:])]
+        got = tok.encode([b[tok.add_space :].decode("utf-8", "replace") for b in blocks])
+        for x, y, text, found in zip(first[:-1].tolist(), first[1:].tolist(), blocks, got):
+            block = np.array(found, np.int64)
+            size = tok.size[block]
+            ends, cuts = np.cumsum(size), off[x : y + 1] - off[x]
+            if len(block) and ends[-1] == len(text) and take_runs(tok.flat, tok.start[block], size).tobytes() == text and np.isin(cuts[1:], ends).all():
+                n[x:y] = np.diff(np.searchsorted(ends, cuts, side="right"))
+                ids.append(block)
+                continue
+            for u in range(x, y):
+                one = self._ids(tok, raw[off[u] : off[u + 1]])
+                ok[u] = one is not None
+                if one is not None:
+                    n[u] = len(one)
+                    ids.append(one)
+        return np.concatenate(ids or [np.zeros(0, np.int64)]), n, ok
+
+    def align_units(self, data: np.ndarray, sizes: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """For the cache: group text, group ends, links, and counts of (A, B, groups, misspelt) of units laid end to end."""
+        off = offsets(sizes)
+        a, n_a, ok_a = self._side(self.a, data, off)
+        b, n_b, ok_b = self._side(self.b, data, off)
         ok = ok_a & ok_b
         a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
         n_a, n_b = n_a * ok, n_b * ok
-        base = offsets(np.array([len(u) if x else 0 for u, x in zip(units, ok)], np.int64))
+        base = offsets(sizes * ok)
         a_end, b_end = np.cumsum(self.a.size[a]), np.cumsum(self.b.size[b])
         a_start, b_start = a_end - self.a.size[a], b_end - self.b.size[b]
         side = np.repeat(np.array([0, 1], np.int8), [len(a), len(b)])
@@ -176,41 +218,40 @@ class Aligner:
         together = a_end[i] == b_end[j]
         i, j = i[together], j[together]
         groups_of = np.diff(np.searchsorted(group_end, base, side="right"))
-        # A unit's groups as text: A ids by comma, a bar, B ids by comma, and a semicolon after each group.
-        by_side = np.lexsort((start, side, own))
-        text: list[str] = []
-        last = (-1, -1)
-        for g, s, x in zip(own[by_side].tolist(), side[by_side].tolist(), ids[by_side].tolist()):
-            if (g, s) == last:
-                text.append(f",{x}")
-            else:
-                text.append(f"|{x}" if s else f"{x}" if g == 0 else f";{x}")
-                last = (g, s)
-        joined = "".join(text) + ";" * bool(text)
-        raw = np.frombuffer(joined.encode(), np.uint8)
-        closed = np.flatnonzero(raw == ord(";")) + 1
-        cut = np.concatenate((np.zeros(1, np.int64), closed))[offsets(groups_of)]
+        text, text_sizes = self._text(ids, own, side, np.lexsort((start, side, own)), offsets(groups_of))
         at_unit = np.searchsorted(base, a_end[i], side="left") - 1
         counts = np.stack((n_a, n_b, groups_of, ~ok), axis=1).astype(np.int32)
         return {
-            "text": (raw, np.diff(cut)),
+            "text": (text, text_sizes),
             "ends": ((group_end - np.repeat(base[:-1], groups_of)).astype(np.int32), groups_of),
-            "links": (a[i] << 32 | b[j], np.bincount(at_unit, minlength=len(units))),
-            "counts": (counts.ravel(), np.full(len(units), 4)),
+            "links": (a[i] << 32 | b[j], np.bincount(at_unit, minlength=len(sizes))),
+            "counts": (counts.ravel(), np.full(len(sizes), 4)),
         }
 
+    def _text(self, ids: np.ndarray, own: np.ndarray, side: np.ndarray, order: np.ndarray, unit_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units' groups as text, ``;a1,a2|b1``: a semicolon, A ids by comma, a bar, B ids by comma; and the units' sizes."""
+        ids, own, side = ids[order], own[order], side[order]
+        start, size = self.decimal
+        flat = take_runs(self.digits, start[ids], size[ids])
+        at = offsets(size[ids])
+        mark = np.full(len(ids), ord(","), np.uint8)
+        group_first = np.searchsorted(own, np.arange(unit_off[-1]))
+        mark[1:][side[1:] != side[:-1]] = ord("|")
+        mark[group_first] = ord(";")
+        flat[at[:-1]] = mark
+        return flat, np.diff(at[np.append(group_first, len(ids))][unit_off])
+
     def align(self, col: pa.Array, names: tuple[str, ...] = ("text", "ends", "links")) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """For each row: ``counts`` (A tokens, B tokens, groups) and the named runs with their sizes."""
         data, row_off = with_space(col)
         start = unit_starts(data, row_off, self.splits) if len(data) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(data)))
-        raw = data.tobytes()
         key = tv.span_hash(data, tv._BYTE_ALL, start, start + size)
         short, long = np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG)
-        at = self.cache.places(key[short], lambda new: self.align_units([raw[start[i] : start[i] + size[i]] for i in short[new]]))
+        at = self.cache.places(key[short], lambda new: self.align_units(take_runs(data, start[short[new]], size[short[new]]), size[short[new]]))
         found = {k: self.cache.run(k, at) for k in (*names, "counts")}
         if len(long):
-            more = self.align_units([raw[start[i] : start[i] + size[i]] for i in long])
+            more = self.align_units(take_runs(data, start[long], size[long]), size[long])
             order = np.argsort(np.concatenate((short, long)), kind="stable")
             for k, (flat, n) in found.items():
                 n, both = np.concatenate((n, more[k][1])), np.concatenate((flat, more[k][0].astype(flat.dtype)))
@@ -250,12 +291,12 @@ def align(docs: DataFrame, a: str, b: str, columns: tuple[str, ...] = tuple(RUNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(a, b)
-        for x in tv.slices(batches):
+        for x in tv.slices(batches, most=CHUNK_BYTES):
             got = tool.align(x.column(1), tuple(RUNS[c] for c in names if c in RUNS))
             out = {"doc_id": x.column(0)} | {c: pa.array(got["counts"][:, k], pa.int64()) for k, c in enumerate(("n_a", "n_b", "n_groups"))}
             if "text" in got:
                 text, off = got["text"][0].tobytes(), offsets(got["text"][1])
-                out["groups"] = pa.array([text[p : max(p, q - 1)].decode() for p, q in zip(off[:-1], off[1:])], pa.string())
+                out["groups"] = pa.array([text[min(p + 1, q) : q].decode() for p, q in zip(off[:-1], off[1:])], pa.string())
             if "ends" in got:
                 out["group_ends"] = _lists(got["ends"][0], offsets(got["ends"][1]))
             if "links" in got:
@@ -269,17 +310,15 @@ def _longs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets(sizes), pa.int32()), pa.array(values, pa.int64()))
 
 
-def pair_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
+def pair_counts(aligned: DataFrame) -> DataFrame:
     """pair (``a << 32 | b``), n (its links in all texts), best (n is the highest of b's pairs)."""
-    tv.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = aligner(a, b)
-        for x in tv.slices(batches, column="text"):
-            pair, n = np.unique(tool.align(x.column(0), ("links",))["links"][0], return_counts=True)
+        for x in batches:
+            pair, n = np.unique(_runs(x.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
 
-    counts = table(docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
+    counts = table(aligned.select("links").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pair-counts")
     counts = counts.withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
     # One row for each id of B: bounded by its vocabulary.
     highest = counts.groupBy("b").agg(F.max("n").alias("highest"))

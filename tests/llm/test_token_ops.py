@@ -155,7 +155,7 @@ def check_alignment(spark, docs, most):
     aligned = align(docs, *FILES)
     got = sorted(((r.doc_id, r.n_a, r.n_b, r.n_groups, r.groups, r.group_ends, [(x >> 32, x & 0xFFFFFFFF) for x in r.links]) for r in aligned.collect()), key=str)
     assert got == sorted(((d, b[0], b[1], b[2].count("|"), b[2], b[4], b[3]) for (d, _), b in zip(rows, brute)), key=str)
-    pairs = pair_counts(docs, *FILES)
+    pairs = pair_counts(aligned)
     assert {(r.pair >> 32, r.pair & 0xFFFFFFFF): (r.n, r.best) for r in pairs.collect()} == {p: (n, best[p[1]] == n) for p, n in count.items()}
     got = sorted(map(tuple, weigh(aligned, pairs, most).select("doc_id", "n_links", "n_best", "count_sum").collect()), key=str)
     assert got == sorted(((d, len(b[3]), sum(count[p] == best[p[1]] for p in b[3]), sum(count[p] for p in b[3])) for (d, _), b in zip(rows, brute)), key=str)
