@@ -166,14 +166,24 @@ class Model:
             out[at : at + 2048] = top + np.log(np.exp(s - top[:, None]).sum(1))
         return out
 
-    def log_probs(self, w1: np.ndarray, w2: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural logs of the outputs' normalised probabilities; equal contexts are normalised once."""
+    def no_norms(self) -> np.ndarray:
+        """Room for the normaliser of every context, for ``log_probs``."""
+        return np.full((len(self.b) + 1) ** 2, np.nan)
+
+    def log_probs(self, w1: np.ndarray, w2: np.ndarray, y: np.ndarray, norms: np.ndarray | None = None) -> np.ndarray:
+        """Natural logs of the outputs' normalised probabilities.
+
+        Each context is normalised once; ``norms`` keeps what was found over calls.
+        """
         k = len(self.b) + 1
+        norms = self.no_norms() if norms is None else norms
         pair, inverse = np.unique(w1 * k + w2, return_inverse=True)
         u1, u2 = pair // k, pair % k
+        new = np.isnan(norms[pair])
+        norms[pair[new]] = self.log_norm(u1[new], u2[new])
         vectors = self.predicted(u1, u2)
         s = np.einsum("ij,ij->i", vectors[inverse], self.q[y]) + self.b[y]
-        return np.minimum(s - self.log_norm(u1, u2)[inverse], 0.0)
+        return np.minimum(s - norms[pair][inverse], 0.0)
 
 
 def unigram(v: Vocabulary, rows: int) -> np.ndarray:
@@ -292,13 +302,13 @@ def train(training: DataFrame, v: Vocabulary, rows: int, rounds: int = ROUNDS) -
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, lm double, tail_h array<long>, tail_n array<long>"
 
 
-def score_rows(col: pa.Array, v: Vocabulary, index: tv.HashIndex, model: Model, rows: int) -> tuple:
+def score_rows(col: pa.Array, v: Vocabulary, index: tv.HashIndex, model: Model, rows: int, norms: np.ndarray | None = None) -> tuple:
     """Sums by row without the words that the broadcast table lacks, and those words."""
     w = tv.split_words(col)
     k = min(WORDS, len(v.hashes))
     found = index.find(w.hash)
     y, w1, w2, at = token_ids(w, found, k)
-    lp = model.log_probs(w1, w2, y) / math.log(10)
+    lp = model.log_probs(w1, w2, y, norms) / math.log(10)
     log_c = np.where(found >= 0, np.log10(np.append(v.counts, 0)[found] + 1.0), 0.0)
     in_class = y[at] > k
     lp[at] += np.where(in_class, log_c - np.log10(v.class_mass[np.maximum(y[at] - k - 1, 0)]), 0.0)
@@ -333,9 +343,9 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        index, rid = v.index(), TaskContext.get().partitionId() << 36
+        index, rid, norms = v.index(), TaskContext.get().partitionId() << 36, model.no_norms()
         for b in tv.slices(batches):
-            n, known, base, lm, tail_h, tail_n, off = score_rows(b.column(2), v, index, model, ends)
+            n, known, base, lm, tail_h, tail_n, off = score_rows(b.column(2), v, index, model, ends, norms)
             lists = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x, pa.int64())) for x in (tail_h, tail_n)]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + len(n))), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(lm), *lists], names=[f.split()[0] for f in SCORED.split(", ")])
             rid += len(n)

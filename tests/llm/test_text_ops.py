@@ -338,3 +338,19 @@ def test_language_messy(spark):
     assert by[1].lang_pred != "und" and 0 <= by[1].score <= 1
     assert predict(empty(spark)).collect() == []
     assert {r.lang_pred for r in predict(messy(spark).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_kept_normalisers_change_nothing():
+    """Slices that share the normalisers found so far get the scores they'd have alone."""
+    from freightlens.llm import lm_nce
+
+    rng = np.random.default_rng(4)
+    m, d = 37, 5
+    f = lambda *s: rng.normal(0, 1, s).astype(np.float32)
+    model = lm_nce.Model(f(m + 1, d), f(d, d), f(d, d), f(m, d), f(m))
+    norms = model.no_norms()
+    for n in (50, 1, 400):
+        w1, w2, y = rng.integers(0, m + 1, n), rng.integers(0, m + 1, n), rng.integers(0, m, n)
+        assert np.allclose(model.log_probs(w1, w2, y, norms), model.log_probs(w1, w2, y), rtol=0, atol=1e-5)
+    every = model.log_probs(np.full(m, 3), np.full(m, 5), np.arange(m), norms)
+    assert abs(np.exp(every).sum() - 1) < 1e-4
