@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from line_brute import Sets, brute
 from messy import BASE, ROWS, empty, messy, words
 
 SF = "/root/testdata/sf0.001"
@@ -14,22 +15,6 @@ def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
-class Sets(dict):
-    def __missing__(self, x):
-        self[x] = x
-        return x
-
-    def find(self, x):
-        while self[x] != x:
-            x = self[x]
-        return x
-
-    def join(self, a, b):
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self[max(a, b)] = min(a, b)
-
-
 # --- n-gram join
 
 
@@ -94,36 +79,6 @@ def test_ngram_join_messy(spark):
 # --- lines
 
 
-def brute_lines(spark, docs):
-    """Linked lines by comparing all pairs; SimHashes are those of Spark."""
-    from freightlens.llm import line_dedup as ld
-
-    found = ld.occurrences(docs)
-    rows = found.join(ld.simhashes(found, ["id"]), "id").select("doc_id", "pos", "line", "sim").collect()
-    lines = list({r.line: np.int64(r.sim).astype(np.uint64) for r in rows}.items())
-    sims = np.array([s for _, s in lines], np.uint64)
-    groups = Sets()
-    for i, (a, _) in enumerate(lines):
-        groups.find(groups[a])
-        for j in (np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= 3) + i + 1).tolist():
-            x, y = a.split(" "), lines[j][0].split(" ")
-            d = list(range(len(y) + 1))
-            for n, c in enumerate(x, 1):
-                e = [n]
-                for m, f in enumerate(y, 1):
-                    e.append(min(d[m] + 1, e[-1] + 1, d[m - 1] + (c != f)))
-                d = e
-            if 5 * d[-1] <= max(len(x), len(y)):
-                groups.join(a, lines[j][0])
-    gone, seen = defaultdict(set), set()
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.pos)):
-        c = groups.find(r.line)
-        if c in seen:
-            gone[r.doc_id].add(r.pos)
-        seen.add(c)
-    return gone
-
-
 def fuzzy_documents():
     rng = np.random.default_rng(9)
     base = [[f"w{x}" for x in rng.integers(0, 10**6, n)] for n in (40, 60, 90)]
@@ -141,7 +96,7 @@ def test_line_dedup(spark, source):
     from freightlens.llm.line_dedup import dedup_lines
 
     docs = documents(spark).select("doc_id", "text") if source == "documents" else spark.createDataFrame(fuzzy_documents(), "doc_id long, text string")
-    gone = brute_lines(spark, docs)
+    gone = brute(docs)
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert gone
     for r in dedup_lines(docs).collect():
