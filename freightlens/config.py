@@ -122,3 +122,15 @@ PING_SCHEMA = T.StructType(
         T.StructField("ingest_ts", T.TimestampType(), True),
     ]
 )
+
+# The documented body of a single ping (the booking id comes with the request).
+PAYLOAD_SCHEMA = T.StructType(
+    [
+        T.StructField("ping_ts", T.TimestampType(), True),
+        T.StructField("latitude", T.DoubleType(), True),
+        T.StructField("longitude", T.DoubleType(), True),
+        T.StructField("speed_kmph", T.DoubleType(), True),
+        T.StructField("heading_deg", T.DoubleType(), True),
+        T.StructField("gps_provider", T.StringType(), True),
+    ]
+)

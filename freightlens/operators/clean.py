@@ -129,8 +129,9 @@ def quality_log(raw: DataFrame, staged: DataFrame) -> DataFrame:
     ).withColumn("value", F.col("value").cast("bigint"))
 
 
-def clean_shipments(raw: DataFrame, materialize=None) -> tuple[DataFrame, DataFrame]:
-    """Returns (clean, quality_log).
+def clean_shipments(raw: DataFrame, materialize=None, landed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns (clean, quality_log).  ``landed`` is the raw frame as a table, if there is one;
+    its rows are counted instead of running ``raw`` again.
 
     ``materialize`` (e.g. a write to the checkpoint folder) is applied after
     dedupe + rules, so the band-mode lookup reads two columns of that table
@@ -139,4 +140,4 @@ def clean_shipments(raw: DataFrame, materialize=None) -> tuple[DataFrame, DataFr
     if materialize is not None:
         ruled = materialize(ruled)
     staged = impute_vehicle_types(ruled)
-    return staged.drop(*_MASKS), quality_log(raw, staged)
+    return staged.drop(*_MASKS), quality_log(raw if landed is None else landed, staged)

@@ -61,8 +61,13 @@ def customer_volume(df: DataFrame) -> DataFrame:
     )
 
 
-def engineer_features(df: DataFrame) -> DataFrame:
-    """Append F1-F21 to a cleaned shipment frame (row count unchanged)."""
+def engineer_features(df: DataFrame, materialize=None) -> DataFrame:
+    """Append F1-F21 to a cleaned shipment frame (row count unchanged).
+
+    ``materialize(frame, name)`` writes the supplier and customer look-ups first, from the two columns
+    each needs.  Their size is then known before the wide rows are joined, so small
+    ones are broadcast and the rows stay where they are; large ones are joined by shuffle."""
+    written = materialize or (lambda frame, name: frame)
     out = df.withColumns(lead_time_columns())
     geo = haversine_km("origin_lat", "origin_lon", "dest_lat", "dest_lon")
     out = out.withColumns(
@@ -99,11 +104,8 @@ def engineer_features(df: DataFrame) -> DataFrame:
     )
     # at most TOP_MATERIALS rows -> bounded broadcast.
     out = out.join(F.broadcast(top_materials(out)), "material_shipped", "left")
-    # One row per supplier / customer; Catalyst + AQE broadcast them
-    # only when their measured size is under the threshold, else a shuffle
-    # join (AQE splits a hot key).
-    out = out.join(supplier_modal_band(out), "supplier_name", "left")
-    out = out.join(customer_volume(out), "customer_name", "left")
+    out = out.join(written(supplier_modal_band(df.withColumn("_band_ord", band_ordinal("distance_km"))), "supplier-band"), "supplier_name", "left")
+    out = out.join(written(customer_volume(df), "customer-volume"), "customer_name", "left")
     cust_n = F.coalesce(F.col("_cust_n"), F.lit(0))
     out = out.withColumns(
         {

@@ -1,60 +1,88 @@
 """D5/D6 batch twins: geofence entry/exit events and predicted-delay alerts.
 
-Fence matching is a range join done as an equi-join on grid cells: every
-fence is replicated to the cells its radius touches, each ping looks only
-at its own cell, then the exact haversine test filters.  No cross product
-of pings and fences is formed.
+Fence matching is a range join done as an equi-join on grid cells of several sizes.  A
+fence is put into the few cells it touches at the smallest size that its reach doesn't exceed, so a
+small fence meets only pings nearby, and a large one doesn't take many cells.  A ping looks
+into its own cell at each size that some fence uses, then the exact haversine test filters.  No
+cross product of pings and fences is formed, and longitude goes round the earth.
 """
 
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km, hours_between
 from .trajectory import lag_by_key
 
-CELL_DEG = 1.0
+#: Cell sizes are 4 degrees / 2^level; all divide 360.
+TOP_CELL_DEG = 4.0
+LEVELS = 10
 KM_PER_DEG = 111.2
 
 
 def fences_from_locations(locations: DataFrame, radius_km: float = 50.0) -> DataFrame:
-    """Fence table (fence_id, lat, lon, radius_km) from named points."""
+    """Fence table (fence_id, lat, lon, radius_km) from named points; places of one name are told apart by where they are."""
+    fence = F.format_string("%s@%.6f,%.6f", "location_name", F.col("latitude").cast("double"), F.col("longitude").cast("double"))
     return locations.select(
-        F.col("location_name").alias("fence_id"), F.col("latitude").alias("lat"),
+        fence.alias("fence_id"), F.col("latitude").alias("lat"),
         F.col("longitude").alias("lon"), F.lit(float(radius_km)).alias("radius_km"),
     ).where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).dropDuplicates(["fence_id", "lat", "lon"])
 
 
-def fence_cells(fences: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
-    """Replicate each fence to every grid cell its radius can reach."""
+CELL = ["cell_level", "cell_lat", "cell_lon"]
+
+
+def _cell(lat: Column, lon: Column, level: Column) -> tuple[Column, Column]:
+    """Row and column of a point in the grid of a level, columns not yet counted round the earth."""
+    per_degree = F.pow(F.lit(2.0), level) / TOP_CELL_DEG
+    return F.floor(lat * per_degree).cast("bigint"), F.floor(lon * per_degree).cast("bigint")
+
+
+def _round_the_earth(column: Column, level: Column) -> Column:
+    return F.pmod(column, F.lit(round(360.0 / TOP_CELL_DEG)).cast("bigint") * F.pow(F.lit(2.0), level).cast("bigint"))
+
+
+def fence_cells(fences: DataFrame) -> DataFrame:
+    """Each fence with the cells it can reach: mostly one to four, at the size that fits its reach."""
     dlat = F.col("radius_km") / KM_PER_DEG
-    coslat = F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + dlat, F.lit(89.9)))), F.lit(1e-6))
-    dlon = F.col("radius_km") / (KM_PER_DEG * coslat)
-    cell = lambda v: F.floor(v / cell_deg).cast("bigint")
-    return fences.select(
-        "*",
-        F.explode(F.sequence(cell(F.col("lat") - dlat), cell(F.col("lat") + dlat))).alias("cell_lat"),
-        F.sequence(cell(F.col("lon") - dlon), cell(F.col("lon") + dlon)).alias("_lons"),
-    ).select("*", F.explode("_lons").alias("cell_lon")).drop("_lons")
+    # A radius that reaches a pole reaches all longitudes.
+    coslat = F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + dlat, F.lit(90.0)))), F.lit(1e-6))
+    dlon = F.least(F.col("radius_km") / (KM_PER_DEG * coslat), F.lit(180.0))
+    wide = F.greatest(2.0 * F.greatest(dlat, dlon), F.lit(1e-9))
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.floor(F.log2(F.lit(TOP_CELL_DEG) / wide)).cast("int")))
+    f = fences.withColumns({"cell_level": level, "_dlat": dlat, "_dlon": dlon})
+    low = _cell(F.col("lat") - F.col("_dlat"), F.col("lon") - F.col("_dlon"), F.col("cell_level"))
+    high = _cell(F.col("lat") + F.col("_dlat"), F.col("lon") + F.col("_dlon"), F.col("cell_level"))
+    lons = F.transform(F.sequence(low[1], high[1]), lambda c: _round_the_earth(c, F.col("cell_level")))
+    f = f.withColumn("_lons", F.array_distinct(lons)).withColumn("cell_lat", F.explode(F.sequence(low[0], high[0])))
+    return f.withColumn("cell_lon", F.explode("_lons")).drop("_lons", "_dlat", "_dlon")
+
+
+def levels_of(cells: DataFrame) -> list[int]:
+    """The levels that fences use, LEVELS at most."""
+    return sorted(r[0] for r in cells.select("cell_level").distinct().collect())
 
 
-def nearest_fence(pings: DataFrame, fences: DataFrame, key_cols: list[str], cell_deg: float = CELL_DEG) -> DataFrame:
+def with_cells(pings: DataFrame, levels: list[int]) -> DataFrame:
+    """Each ping with its cell at each of the levels, once a level."""
+
+    def at(level: int) -> Column:
+        lat, lon = _cell(F.col("current_lat"), F.col("current_lon"), F.lit(level))
+        return F.struct(F.lit(level).alias("cell_level"), lat.alias("cell_lat"), _round_the_earth(lon, F.lit(level)).alias("cell_lon"))
+
+    if not levels:
+        levels = [0]
+    return pings.withColumn("_cell", F.explode(F.array(*[at(k) for k in levels]))).select("*", "_cell.*").drop("_cell")
+
+
+def nearest_fence(pings: DataFrame, fences: DataFrame, key_cols: list[str]) -> DataFrame:
     """Each ping with its nearest fence within radius (NULL if none)."""
-    cells = fence_cells(fences, cell_deg).select(
-        "cell_lat", "cell_lon", "fence_id", F.col("lat").alias("_flat"), F.col("lon").alias("_flon"),
-        F.col("radius_km").alias("_rad"),
-    )
-    p = pings.withColumns(
-        {
-            "cell_lat": F.floor(F.col("current_lat") / cell_deg).cast("bigint"),
-            "cell_lon": F.floor(F.col("current_lon") / cell_deg).cast("bigint"),
-        }
-    )
-    cand = p.select(*key_cols, "cell_lat", "cell_lon", "current_lat", "current_lon").join(
-        cells, ["cell_lat", "cell_lon"]
-    )
+    cells = fence_cells(fences)
+    levels = levels_of(cells)
+    cells = cells.select(*CELL, "fence_id", F.col("lat").alias("_flat"), F.col("lon").alias("_flon"), F.col("radius_km").alias("_rad"))
+    cand = with_cells(pings.select(*key_cols, "current_lat", "current_lon"), levels).join(cells, CELL)
     cand = cand.withColumn("_dist", haversine_km("current_lat", "current_lon", "_flat", "_flon")).where(
         F.col("_dist") <= F.col("_rad")
     )

@@ -9,7 +9,7 @@ from ..config import IDLE_MIN_HOURS, IDLE_SPEED_KMPH
 from ..functions.columns import haversine_km, hours_between, null_false
 from .dedupe import keep_first
 from .quantiles import exact_quantiles
-from .trajectory import lag_by_key, running_count_by_key, running_max_by_key
+from .trajectory import lag_by_key, running_count_by_key, runs_by_key
 
 TRACKING_RECOMMENDATION = "Deploy continuous GPS (30-60s) for idle/moving decomposition"
 
@@ -17,10 +17,10 @@ TRACKING_RECOMMENDATION = "Deploy continuous GPS (30-60s) for idle/moving decomp
 def preprocess_trajectory(pings: DataFrame, booking_col: str = "booking_id", time_col: str = "gps_ping_time",
                           lat_col: str = "current_lat", lon_col: str = "current_lon", tie_col: str = "ping_seq",
                           idle_speed: float = IDLE_SPEED_KMPH, idle_hours: float = IDLE_MIN_HOURS,
-                          bucket_hours: int = 24) -> DataFrame:
+                          bucket_hours: int = 24, keep_bucket: bool = False) -> DataFrame:
     """Previous point, segment hours / km / speed, idle flag."""
     df = pings if tie_col in pings.columns else pings.withColumn(tie_col, F.monotonically_increasing_id())
-    df = lag_by_key(df, booking_col, time_col, tie_col, [lat_col, lon_col, time_col], "_p_", bucket_hours)
+    df = lag_by_key(df, booking_col, time_col, tie_col, [lat_col, lon_col, time_col], "_p_", bucket_hours, keep_bucket)
     df = df.withColumnsRenamed(
         {f"_p_{lat_col}": "prev_lat", f"_p_{lon_col}": "prev_lon", f"_p_{time_col}": "prev_time"}
     )
@@ -79,26 +79,14 @@ def idle_episodes(segments: DataFrame, booking_col: str = "booking_id", time_col
                   tie_col: str = "ping_seq", min_hours: float = 0.0, bucket_hours: int = 24) -> DataFrame:
     """Runs of consecutive idle segments (gaps and islands).
 
-    A run is identified by the latest non-idle point before it (a running
-    max over the booking's rows, bucketed), so idle rows are grouped by
-    (booking, break point); the episodes are then numbered in time order
-    with a running count over the episode table (one row per episode)."""
-    brk = F.when(~F.col("is_idle_segment"), F.struct(F.col(time_col).alias("t"), F.col(tie_col).alias("s")))
-    s = running_max_by_key(segments, booking_col, time_col, tie_col, brk, "_brk", bucket_hours)
-    ep = (
-        s.where(F.col("is_idle_segment") & F.col(booking_col).isNotNull())
-        .groupBy(booking_col, "_brk")
-        .agg(
-            F.min("prev_time").alias("episode_start"),
-            F.max(time_col).alias("episode_end"),
-            F.sum("delta_hours").alias("idle_hours"),
-            F.sum("segment_km").alias("idle_km"),
-            F.count(F.lit(1)).alias("segments"),
-        )
-        .select("*", F.col("_brk.t").alias("_bt"), F.col("_brk.s").alias("_bs"))
+    Segments that carry their bucket (``keep_bucket``) are not shuffled again."""
+    ep = runs_by_key(
+        segments, booking_col, time_col, tie_col, F.col("is_idle_segment"),
+        {"episode_start": ("min", F.col("prev_time")), "episode_end": ("max", F.col(time_col)), "idle_hours": ("sum", F.col("delta_hours")),
+         "idle_km": ("sum", F.col("segment_km")), "segments": ("sum", F.lit(1).cast("bigint"))},
+        "episode_no", bucket_hours,
     )
-    ep = running_count_by_key(ep, booking_col, "_bt", "_bs", "episode_no", None, bucket_hours)
-    return ep.where(F.col("idle_hours") >= min_hours).drop("_brk", "_bt", "_bs")
+    return ep.where(F.col("idle_hours") >= min_hours)
 
 
 def ping_compliance(pings: DataFrame, cadence_minutes: float = 15.0, threshold: float = 0.9,

@@ -29,19 +29,24 @@ def percentile(col: str, q: float, exact: bool = True) -> Column:
     return F.percentile_approx(F.col(col), F.lit(q), F.lit(10000))
 
 
-def executive_kpis(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """A1: one-row KPI table over rows having a booking id."""
-    valid = df.where(F.col("booking_id").isNotNull())
+EXECUTIVE_COLUMNS = "total_bookings ontime_bookings ontime_rate_pct avg_trip_days avg_distance_km avg_delay_hours avg_wait_hours".split()
+
+
+def executive_aggs(approx_distinct: bool = False) -> list[Column]:
+    """A1 as aggregates over all rows; rows without a booking id don't count."""
     distinct = F.approx_count_distinct("booking_id") if approx_distinct else F.countDistinct("booking_id")
-    return valid.agg(
+    of = lambda c: F.when(F.col("booking_id").isNotNull(), F.col(c))
+    return [
         distinct.cast("bigint").alias("total_bookings"),
-        F.coalesce(F.sum("is_ontime"), F.lit(0)).cast("bigint").alias("ontime_bookings"),
-        pct(F.avg("is_ontime")).alias("ontime_rate_pct"),
-        r(F.avg("trip_days"), 2).alias("avg_trip_days"),
-        r(F.avg("distance_km"), 2).alias("avg_distance_km"),
-        r(F.avg("delay_hours"), 2).alias("avg_delay_hours"),
-        r(F.avg("wait_hours"), 2).alias("avg_wait_hours"),
-    )
+        F.coalesce(F.sum(of("is_ontime")), F.lit(0)).cast("bigint").alias("ontime_bookings"),
+        pct(F.avg(of("is_ontime"))).alias("ontime_rate_pct"),
+        *[r(F.avg(of(c)), 2).alias(f"avg_{c}") for c in ("trip_days", "distance_km", "delay_hours", "wait_hours")],
+    ]
+
+
+def executive_kpis(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """A1: one-row KPI table over rows having a booking id."""
+    return df.agg(*executive_aggs(approx_distinct))
 
 
 SEGMENT_MEASURES = (
@@ -50,7 +55,7 @@ SEGMENT_MEASURES = (
 ).split()
 
 
-def _segment_aggs() -> list[Column]:
+def segment_aggs() -> list[Column]:
     return [
         F.count("booking_id").alias("total_bookings"),
         F.coalesce(F.sum("is_ontime"), F.lit(0)).cast("bigint").alias("ontime_bookings"),
@@ -69,7 +74,7 @@ def segment_performance(df: DataFrame, keys, min_bookings: int = 10) -> DataFram
     ks = _keys(keys)
     return (
         df.groupBy(*ks)
-        .agg(*_segment_aggs())
+        .agg(*segment_aggs())
         .withColumn("ontime_rate_pct", pct(F.col("ontime_rate")))
         .where(F.col("total_bookings") >= min_bookings)
         .orderBy(F.col("total_bookings").desc(), *[F.col(k).asc_nulls_last() for k in ks])
@@ -225,7 +230,7 @@ def slicer(df: DataFrame, dims: Sequence[str] = SLICER_DIMENSIONS, min_bookings:
     of one job per dimension."""
     dims = list(dims)
     g = df.groupingSets([[d] for d in dims], *dims).agg(
-        *_segment_aggs(), F.grouping_id().alias("_gid")
+        *segment_aggs(), F.grouping_id().alias("_gid")
     )
     n = len(dims)
     dim_expr = F.lit(None).cast("string")

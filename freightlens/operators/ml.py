@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RANDOM_STATE
-from ..functions.columns import r
+from ..functions.columns import hours_between, r
+from ..session import materialize
 from . import mlprep
 from .diagnostics import MODEL_CATEGORICAL, MODEL_NUMERIC
 from .keys import sequential_ids
@@ -87,9 +88,9 @@ class ModelBundle:
     test: DataFrame | None = None
 
 
-def split(df: DataFrame, test_pct: int = 20) -> DataFrame:
-    """M3: reproducible hash split on the booking id."""
-    return mlprep.split_by_bucket(df, mlprep.hash_bucket(F.col("booking_id")), test_pct)
+def split(df: DataFrame, label: str | None = None, test_share: float = 0.2) -> DataFrame:
+    """M3: reproducible split on the booking id, exact within each class of ``label``."""
+    return mlprep.stratified_split(df, label, "booking_id", test_share)
 
 
 def _frame(df: DataFrame, target: str, num: list[str]) -> DataFrame:
@@ -114,11 +115,13 @@ def train_eta_model(df: DataFrame, max_iter: int = 150, max_depth: int = 5, num:
                        {"test_mae_days": round(float(mae), 3) if mae is not None else None}, pred)
 
 
-def train_delay_classifier(df: DataFrame, max_iter: int = 200, max_depth: int = 6, algorithm: str = "gbt",
+def train_delay_classifier(df: DataFrame, max_iter: int = 200, max_depth: int | None = None, algorithm: str = "gbt",
                            num: list[str] | None = None) -> ModelBundle:
-    """M5/M6: late classifier with balanced class weights; AUC on the test split."""
+    """M5/M6: late classifier with balanced class weights; AUC on the test split.  Trees have
+    depth 6, those of the random forest 8, unless ``max_depth`` says otherwise."""
     num = num or NUMERIC
-    m = split(_frame(df, "is_late", num))
+    max_depth = max_depth or (8 if algorithm == "rf" else 6)
+    m = split(_frame(df, "is_late", num), "is_late")
     train = mlprep.with_class_weight(m.where(F.col("split") == "train"), "is_late", "class_weight")
     test = m.where(F.col("split") == "test")
     caps = category_caps(train, CATEGORICAL, 30)
@@ -211,7 +214,7 @@ def late_risk_model(df: DataFrame, num_trees: int = 200, max_depth: int = 8) ->
     """Balanced random forest on the R5 frame; AUC on the test split."""
     from .diagnostics import model_frame
 
-    m = split(model_frame(df))
+    m = split(model_frame(df), "is_late")
     train = mlprep.with_class_weight(m.where(F.col("split") == "train"), "is_late", "class_weight")
     test = m.where(F.col("split") == "test")
     caps = category_caps(train, MODEL_CATEGORICAL, 25)
@@ -226,34 +229,23 @@ def late_risk_model(df: DataFrame, num_trees: int = 200, max_depth: int = 8) ->
                        {"test_auc": round(auc, 3)}, test)
 
 
-_PRIMES = [1_000_003, 999_983, 1_000_033, 999_979, 1_000_037, 999_961, 1_000_039, 999_959]
-
-
 def permutation_importance(bundle: ModelBundle, repeats: int = 5, seed: int = RANDOM_STATE) -> DataFrame:
     """Drop in R^2 (regressor) or accuracy (classifier) when one raw input
-    column is permuted; mean and population std over ``repeats``."""
+    column is permuted; mean and population std over ``repeats``.
+
+    Each repeat is a keyed permutation of the rows' numbers.  One join brings each row the row it is
+    permuted to, for all repeats; the columns are then swapped one at a time in place."""
     test = bundle.test
     feats = bundle.num + bundle.cat
-    base = sequential_ids(test, ["booking_id"], "_rid").withColumn("_rid", F.col("_rid") - 1)
-    base = base.persist()
+    base = sequential_ids(test, ["booking_id"], "_rid").select((F.col("_rid") - 1).alias("_rid"), bundle.target, *feats)
+    base = materialize(base, "importance-rows")
     n = base.count()
-    # (feature, repeat, a, b): an affine bijection i -> (a i + b) mod n per copy
-    plans = []
-    for fi, f in enumerate(feats):
-        for rep in range(repeats):
-            a = next(p for p in _PRIMES[(fi + rep) % len(_PRIMES):] + _PRIMES if n % p != 0)
-            b = (seed * 7919 + fi * 104729 + rep * 1299709) % max(n, 1)
-            plans.append((f, rep, a, b))
-    spark = test.sparkSession
-    plan_df = spark.createDataFrame(plans, "feature string, rep int, a long, b long")
-    copies = base.crossJoin(F.broadcast(plan_df)).withColumn(
-        "_src", F.pmod(F.col("a") * F.col("_rid") + F.col("b"), F.lit(n))
-    )
-    donor = base.select(F.col("_rid").alias("_src"), *[F.col(f).alias(f"_d_{f}") for f in feats])
-    joined = copies.join(donor, "_src")
-    swapped = joined.select(
+    swaps = F.array(*[F.struct(F.lit(k).alias("rep"), mlprep.permuted(F.col("_rid"), max(n, 1), seed * 1000 + k).alias("src")) for k in range(repeats)])
+    donor = base.select(F.col("_rid").alias("_src"), F.struct(*feats).alias("_d"))
+    joined = base.withColumn("_s", F.explode(swaps)).select("*", F.col("_s.rep").alias("rep"), F.col("_s.src").alias("_src")).join(donor, "_src")
+    swapped = joined.withColumn("feature", F.explode(F.array(*[F.lit(f) for f in feats]))).select(
         "feature", "rep", bundle.target,
-        *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in feats],
+        *[F.when(F.col("feature") == f, F.col("_d")[f]).otherwise(F.col(f)).alias(f) for f in feats],
     )
     is_reg = bundle.target == "delay_hours" or bundle.target == "trip_days"
 
@@ -289,15 +281,17 @@ def top_drivers_text(importance: DataFrame, k: int = 3) -> DataFrame:
 
 
 def batch_score(df: DataFrame, bundle: ModelBundle, eta: ModelBundle | None = None) -> DataFrame:
-    """Score rows for the prediction fact (risk = 100 x P(late))."""
+    """Score rows for the prediction fact (risk = 100 x P(late)), in one pass over them.
+
+    With an ETA model also the predicted arrival and the delay against plan, NULL where
+    an input of that model is."""
     scored = shipment_risk_score(df, bundle)
-    if eta is not None:
-        p = eta.model.transform(scored.select(*df.columns)).select("booking_id", F.col("prediction").alias("_eta_days"))
-        scored = scored.join(p, "booking_id", "left").withColumn(
-            "predicted_eta_ts",
-            F.timestamp_micros(F.unix_micros("trip_start") + (F.col("_eta_days") * 86400e6).cast("bigint")),
-        ).drop("_eta_days")
-    return scored
+    if eta is None:
+        return scored
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in eta.num])
+    arrival = F.timestamp_micros(F.unix_micros("trip_start") + (F.col("prediction") * 86400e6).cast("bigint"))
+    out = eta.model.transform(scored).select(*scored.columns, F.when(complete, arrival).alias("predicted_eta_ts"))
+    return out.withColumn("predicted_delay_h", hours_between("predicted_eta_ts", "planned_eta"))
 
 
 def rounded_metrics(df: DataFrame) -> DataFrame:

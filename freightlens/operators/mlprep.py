@@ -2,31 +2,89 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RANDOM_STATE
+from ..session import materialize
 from .quantiles import exact_quantiles
 
 
-def hash_bucket(key: Column, seed: int = RANDOM_STATE, buckets: int = 100) -> Column:
-    """Deterministic bucket in [0, buckets) from any key (reproducible split)."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
+def stratified_split(df: DataFrame, label: str | None, key: str = "booking_id", test_share: float = 0.2,
+                     seed: int = RANDOM_STATE) -> DataFrame:
+    """M3: 'test' for the rows of each class with the lowest key hashes, round(n * test_share) of them; else 'train'.
 
+    The wanted rank's hash is found by counting: hashes by their first three hex digits, then by the next three
+    within the digits that hold the rank, then the few left one by one.  No class is sorted or collected.
+    Rows of equal key stay together (the test part may then be short of them).  NULL labels are a class;
+    ``label=None`` takes all rows as one.  There is one threshold for each class: a label has few.
+    """
+    kind = F.lit(0) if label is None else F.col(label)
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    rows = materialize(df.select(kind.alias("_class"), hashed.alias("_h")), "split-keys")
+    upto = Window.partitionBy("_class").orderBy("_d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-def split_by_bucket(df: DataFrame, bucket: Column, test_pct: int = 20) -> DataFrame:
-    """M3: 'train' / 'test' label from a bucket in [0, 100).  Hash buckets are
-    independent of the label, so both classes split ~80/20 (stratified in
-    expectation) without ranking rows inside a class."""
-    return df.withColumn("split", F.when(bucket < 100 - test_pct, "train").otherwise("test"))
+    def counted(part: DataFrame, digits: Column) -> DataFrame:
+        return part.groupBy("_class", digits.alias("_d")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
 
+    def holding(part: DataFrame, need: Column) -> DataFrame:
+        return part.where((F.col("_upto") - F.col("_n") < need) & (need <= F.col("_upto")))
 
-def booking_key_bucket(booking_col: str = "booking_id") -> Column:
-    """Integer-arithmetic bucket for 'orderkey-line' booking ids (same in SQL)."""
-    parts = F.split(F.col(booking_col), "-")
-    return F.pmod(parts[0].cast("bigint") * 31 + parts[1].cast("bigint") * 17, F.lit(100))
+    def within(prefixes: DataFrame, digits: Column) -> DataFrame:
+        p = prefixes.withColumnRenamed("_class", "_c")
+        return rows.join(F.broadcast(p), F.col("_class").eqNullSafe(F.col("_c")) & (digits == F.col("_p"))).drop("_c")
+
+    first = counted(rows, F.substring("_h", 1, 3))
+    first = first.withColumn("_want", F.floor(F.sum("_n").over(Window.partitionBy("_class")) * F.lit(test_share) + 0.5))
+    at = materialize(holding(first, F.col("_want")).select("_class", F.col("_d").alias("_p"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_need")), "split-prefix")
+    second = counted(within(at, F.substring("_h", 1, 3)), F.substring("_h", 1, 6)).join(
+        F.broadcast(at.select(F.col("_class").alias("_c"), "_need")), F.col("_class").eqNullSafe(F.col("_c"))).drop("_c")
+    at = materialize(holding(second, F.col("_need")).select("_class", F.col("_d").alias("_p"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need")), "split-prefix")
+    third = counted(within(at, F.substring("_h", 1, 6)), F.col("_h")).join(
+        F.broadcast(at.select(F.col("_class").alias("_c"), "_p", "_need")), F.col("_class").eqNullSafe(F.col("_c"))).drop("_c")
+    # All hashes below the prefix are in the test part already; the prefix sorts before all that have it.
+    last = third.groupBy("_class").agg(F.coalesce(F.max(F.when(F.col("_upto") <= F.col("_need"), F.col("_d"))), F.max("_p")).alias("_last"))
+    last = F.broadcast(materialize(last, "split-thresholds").withColumnRenamed("_class", "_c"))
+    test = hashed <= F.col("_last")
+    return df.join(last, kind.eqNullSafe(F.col("_c")), "left").select(*df.columns, F.when(test, "test").otherwise("train").alias("split"))
+
+
+# --- keyed permutations of [0, n)
+_ROUNDS = 6
+
+
+def _sides(n: int) -> tuple[int, int]:
+    """a * b >= n with a near the square root of n and as little excess as a short search finds."""
+    low = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    a = min(range(low, low + 2000), key=lambda a: (a * -(-n // a) - n, a))
+    return a, max(1, -(-n // a))
+
+
+def permuted(index: Column, n: int, key: int) -> Column:
+    """A bijection of [0, n) chosen by ``key``: a Feistel network on pairs (x div b, x mod b), walked again while
+    the result is n or more.  At most a * b - n results are, so that many walks settle all."""
+    a, b = _sides(n)
+
+    def network(x: Column) -> Column:
+        start = F.struct(F.floor(x / F.lit(b)).cast("bigint").alias("l"), F.pmod(x, F.lit(b)).cast("bigint").alias("r"))
+        if n > 1 << 52:
+            raise ValueError("too many rows for exact division")
+
+        def turn(p: Column, k: Column) -> Column:
+            left = F.pmod(p["l"] + F.pmod(F.xxhash64(p["r"], k), F.lit(a)), F.lit(a)).cast("bigint")
+            right = F.pmod(p["r"] + F.pmod(F.xxhash64(left, k, F.lit("r")), F.lit(b)), F.lit(b)).cast("bigint")
+            return F.struct(left.alias("l"), right.alias("r"))
+
+        keys = F.array(*[F.lit(key * _ROUNDS + i).cast("bigint") for i in range(_ROUNDS)])
+        return F.aggregate(keys, start, turn, lambda p: p["l"] * F.lit(b) + p["r"])
+
+    out = network(index.cast("bigint"))
+    if a * b > n:
+        out = F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), out, lambda x, _: F.when(x >= n, network(x)).otherwise(x))
+    return out
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -130,7 +188,8 @@ def psi_drift(df: DataFrame, col: str, cutoff: str, date_col: str = "booking_dat
               floor: float = 1e-4) -> DataFrame:
     """Weekly population stability index of ``col`` against the period
     before ``cutoff``.  Bin edges are the baseline deciles; a value falls in
-    bin = number of edges below it.  PSI = sum (p - q) ln(p / q)."""
+    bin = number of edges below it.  PSI = sum (p - q) ln(p / q), NULL for
+    all weeks if the baseline is empty."""
     x = df.where(F.col(col).isNotNull() & F.col(date_col).isNotNull()).select(
         F.col(col).cast("double").alias("x"), F.col(date_col).alias("d")
     )
@@ -138,19 +197,18 @@ def psi_drift(df: DataFrame, col: str, cutoff: str, date_col: str = "booking_dat
     qs = [k / bins for k in range(1, bins)]
     names = [f"e{k}" for k in range(1, bins)]
     dec = exact_quantiles(base, "x", qs, names=names)  # distributed exact deciles
-    edges = dec.select(F.array(*[F.col(n) for n in names]).alias("edges"))
-    binned = x.crossJoin(F.broadcast(edges)).withColumn(
+    edges = dec.agg(F.first(F.array(*[F.col(n) for n in names])).alias("edges"))  # one row; NULL without a baseline
+    binned = x.join(F.broadcast(edges), F.lit(True), "left").withColumn(
         "bin", F.aggregate("edges", F.lit(0), lambda acc, e: acc + F.when(F.col("x") > e, 1).otherwise(0))
     )
     is_base = F.col("d") < F.to_timestamp(F.lit(cutoff))
-    q = (
-        binned.where(is_base).groupBy("bin").agg(F.count(F.lit(1)).alias("qn"))
-        .crossJoin(F.broadcast(binned.where(is_base).agg(F.count(F.lit(1)).alias("qt"))))
-        .select("bin", (F.col("qn") / F.col("qt")).alias("q"))
-    )
-    cur = binned.where(~is_base).withColumn("week_start", F.to_date(F.date_trunc("week", F.col("d"))))
-    p = cur.groupBy("week_start", "bin").agg(F.count(F.lit(1)).alias("pn"))
-    pt = cur.groupBy("week_start").agg(F.count(F.lit(1)).alias("pt"))
+    week = F.when(~is_base, F.to_date(F.date_trunc("week", F.col("d"))))
+    # Weeks x bins rows: all that follows reads this table.
+    counts = materialize(binned.groupBy(week.alias("week_start"), "bin").agg(F.count(F.lit(1)).alias("n")), "psi-counts")
+    q = counts.where(F.col("week_start").isNull()).select("bin", F.col("n").alias("qn"))
+    q = q.join(F.broadcast(q.agg(F.sum("qn").alias("qt"))), F.lit(True), "left").select("bin", (F.col("qn") / F.col("qt")).alias("q"))
+    p = counts.where(F.col("week_start").isNotNull()).select("week_start", "bin", F.col("n").alias("pn"))
+    pt = p.groupBy("week_start").agg(F.sum("pn").alias("pt"), F.count("bin").alias("_known"))
     # every (week, bin) pair, so empty bins contribute through the floor;
     # the bin table has exactly ``bins`` rows (bounded broadcast).
     all_bins = base.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -160,9 +218,9 @@ def psi_drift(df: DataFrame, col: str, cutoff: str, date_col: str = "booking_dat
         "week_start", "bin",
         F.greatest(F.coalesce(F.col("pn"), F.lit(0)) / F.col("pt"), F.lit(floor)).alias("p"),
         F.greatest(F.coalesce(F.col("q"), F.lit(0.0)), F.lit(floor)).alias("q"),
-        "pt",
+        "pt", "_known",
     )
+    index = F.sum((F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q")))
     return j.groupBy("week_start").agg(
-        F.max("pt").alias("rows"),
-        F.sum((F.col("p") - F.col("q")) * F.log(F.col("p") / F.col("q"))).alias("psi"),
+        F.max("pt").alias("rows"), F.when(F.max("_known") > 0, index).alias("psi"),
     ).select(F.lit(col).alias("feature"), F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "rows", "psi")

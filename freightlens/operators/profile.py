@@ -49,13 +49,14 @@ def profile_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_schema(df: DataFrame) -> DataFrame:
-    """Column names and Spark types (metadata only, no data scan)."""
-    spark = df.sparkSession
-    return spark.createDataFrame(
-        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
-        "position int, column_name string, dtype string",
-    )
+def profile_schema(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Columns in order with their type and how many rows have a value, from one pass over the rows."""
+    columns = columns or [c for c in df.columns if not c.startswith("_")]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wide = df.agg(*[F.count(F.col(c)).alias(c) for c in columns])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("dtype"), F.col(c).alias("non_null"))
+                     for i, c in enumerate(columns)])
+    return wide.select(F.inline(rows))
 
 
 def profile_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

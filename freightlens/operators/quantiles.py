@@ -8,6 +8,8 @@ fixed once as literals, bucket counts give the ranks at which each bucket
 starts, and only buckets that hold a wanted rank (floor / ceil of q (n - 1))
 are ranked inside.  The same answer as ``percentile`` / ``quantile_cont``,
 whether or not Spark reuses an exchange: the bucket depends on the value alone.
+Where all groups together have few distinct values, these are small enough for
+``percentile`` over values and counts.
 """
 
 from __future__ import annotations
@@ -18,6 +20,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Rows of (group, value, count) up to which one task may hold a group's: some tens of MB.
+FEW_VALUES = 200_000
+
 
 def _join_ns(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Inner join on ``cols`` treating NULL = NULL (group keys may be NULL)."""
@@ -52,7 +59,12 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], groups: Sequ
     key = g
     if not g:
         v, key = v.withColumn("_g", F.lit(0)), ["_g"]
-    vc = _buckets(v.groupBy(*key, "_x").agg(F.count(F.lit(1)).alias("_c")), count)
+    # The counts are written once: split points, blocks and ranks all read that table.
+    counts = materialize(v.groupBy(*key, "_x").agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+    if counts.count() <= FEW_VALUES:
+        got = counts.groupBy(*key).agg(F.percentile("_x", F.array(*[F.lit(float(q)) for q in qs]), F.col("_c")).alias("_q"))
+        return got.select(*g, *[F.get("_q", F.lit(i)).alias(nm) for i, nm in enumerate(names)])
+    vc = _buckets(counts, count)
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = vc.groupBy(*key, "_b").agg(F.sum("_c").alias("_cnt")).select(
         *key, "_b", "_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),

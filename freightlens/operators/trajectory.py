@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import null_false
+
 _LAST_BUCKET = 9_223_372_036_854_775_807  # rows with a NULL time sort last
 
 
@@ -27,9 +29,10 @@ def _order(ts: str, tie: str) -> list[Column]:
 
 
 def lag_by_key(df: DataFrame, key: str, ts: str, tie: str, cols: Sequence[str],
-               prefix: str = "prev_", bucket_hours: int = 24) -> DataFrame:
+               prefix: str = "prev_", bucket_hours: int = 24, keep_bucket: bool = False) -> DataFrame:
     """Add ``prefix + c`` = value of ``c`` on the previous row of the same key
-    (ordered by ts, NULL times last, then tie).  NULL keys get NULL."""
+    (ordered by ts, NULL times last, then tie).  NULL keys get NULL.  With
+    ``keep_bucket`` the rows keep ``_bkt``, by which they are already dealt out."""
     b = with_bucket(df, ts, bucket_hours)
     w = Window.partitionBy(key, "_bkt").orderBy(*_order(ts, tie))
     b = b.withColumns({f"{prefix}{c}": F.lag(c).over(w) for c in cols}).withColumn(
@@ -47,7 +50,7 @@ def lag_by_key(df: DataFrame, key: str, ts: str, tie: str, cols: Sequence[str],
         .otherwise(F.col(f"{prefix}{c}"))
         for c in cols
     }
-    return j.withColumns(fixed).drop("_bkt", "_first", "_carry")
+    return j.withColumns(fixed).drop("_first", "_carry", *([] if keep_bucket else ["_bkt"]))
 
 
 def running_count_by_key(df: DataFrame, key: str, ts: str, tie: str, out: str,
@@ -69,17 +72,35 @@ def running_count_by_key(df: DataFrame, key: str, ts: str, tie: str, out: str,
     )
 
 
-def running_max_by_key(df: DataFrame, key: str, ts: str, tie: str, value: Column, out: str,
-                       bucket_hours: int = 24) -> DataFrame:
-    """``out`` = max of ``value`` over the rows of the same key up to and
-    including the current one (NULL values skipped), in (ts, tie) order."""
-    b = with_bucket(df.withColumn("_v", value), ts, bucket_hours)
-    w = Window.partitionBy(key, "_bkt").orderBy(*_order(ts, tie)).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+def runs_by_key(df: DataFrame, key: str, ts: str, tie: str, flag: Column, measures: dict[str, tuple[str, Column]], out: str,
+                bucket_hours: int = 24) -> DataFrame:
+    """Runs of consecutive rows of a key where ``flag`` holds, numbered from 1 in ``out``.
+
+    ``measures`` names aggregates of a run's rows by column: ``min``, ``max`` or ``sum`` of an expression, as
+    ``{"name": ("sum", expr)}``.  Each bucket is summed up in one window pass as its runs in
+    order, whether it begins and whether it ends inside one.  Two neighbouring summaries compose: the
+    last run of one and the first of the next are the same if both touch.  So one pass over the summaries
+    numbers the runs, and pieces of equal number are aggregated once more.  ``df`` may carry ``_bkt``.
+    """
+    b = df if "_bkt" in df.columns else with_bucket(df, ts, bucket_hours)
+    w = Window.partitionBy(key, "_bkt").orderBy(*_order(ts, tie)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    agg = {"min": F.min, "max": F.max, "sum": F.sum}
+    # Rows after the k-th row outside a run, up to the next one, are piece k; piece 0 touches the bucket's beginning.
+    b = b.where(F.col(key).isNotNull()).withColumn("_on", flag).withColumn("_piece", F.sum(F.when(F.col("_on"), 0).otherwise(1)).over(w))
+    pieces = b.groupBy(key, "_bkt", "_piece").agg(
+        F.count_if("_on").alias("_rows"), *[agg[how](F.when(F.col("_on"), e)).alias(n) for n, (how, e) in measures.items()]
     )
-    b = b.withColumn("_within", F.max("_v").over(w))
-    tops = b.groupBy(key, "_bkt").agg(F.max("_v").alias("_top"))
-    wb = Window.partitionBy(key).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tops.select(key, "_bkt", F.max("_top").over(wb).alias("_carry"))
-    j = b.join(carry, [key, "_bkt"], "left")
-    return j.withColumn(out, F.greatest(F.col("_within"), F.col("_carry"))).drop("_v", "_bkt", "_within", "_carry")
+    piece = F.struct("_piece", *measures)
+    summary = pieces.groupBy(key, "_bkt").agg(
+        F.sort_array(F.collect_list(F.when(F.col("_rows") > 0, piece))).alias("_runs"),
+        (F.max_by("_rows", "_piece") > 0).alias("_ends"), (F.max(F.when(F.col("_piece") == 0, F.col("_rows"))) > 0).alias("_begins"),
+    )
+    by_bucket = Window.partitionBy(key).orderBy("_bkt")
+    joins = null_false(F.col("_begins") & F.lag("_ends").over(by_bucket))
+    summary = summary.withColumn("_joined", F.when(joins, 1).otherwise(0))
+    before = F.sum(F.size("_runs") - F.col("_joined")).over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))
+    # The count comes first: in one select with the explode it would be over the exploded rows.
+    summary = summary.withColumn("_before", F.coalesce(before, F.lit(0)))
+    runs = summary.select(key, "_joined", "_before", F.posexplode("_runs").alias("_i", "_r"))
+    runs = runs.select(key, (F.col("_before") + F.col("_i") + 1 - F.col("_joined")).cast("bigint").alias(out), *[F.col("_r")[n].alias(n) for n in measures])
+    return runs.groupBy(key, out).agg(*[agg[how](n).alias(n) for n, (how, _) in measures.items()])

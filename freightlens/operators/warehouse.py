@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import band_sql, hours_between
+from ..session import materialize
 from .keys import sequential_ids
 
 DEC = {
@@ -78,7 +79,7 @@ def dim_location(enriched: DataFrame) -> DataFrame:
 
 
 def dimensions(enriched: DataFrame) -> dict[str, DataFrame]:
-    sup = dim_supplier(enriched).persist()
+    sup = materialize(dim_supplier(enriched), "dim-supplier")
     return {
         "dim_customer": dim_customer(enriched),
         "dim_supplier": sup,
@@ -135,11 +136,6 @@ def fact_shipment(enriched: DataFrame, dims: dict[str, DataFrame] | None = None)
     )
 
 
-def write_fact_shipment(facts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitioned by month so date-scoped reads prune whole folders."""
-    facts.repartition("booking_month").write.mode(mode).partitionBy("booking_month").parquet(path)
-
-
 def fact_gps_ping(segments: DataFrame) -> DataFrame:
     """Valid pings with speed/idle from the trajectory step."""
     p = segments.where(
@@ -160,17 +156,6 @@ def fact_gps_ping(segments: DataFrame) -> DataFrame:
     )
 
 
-def write_fact_gps_ping(pings: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by date, sorted within files by (booking_id, ping_ts)."""
-    (
-        pings.repartition("ping_date")
-        .sortWithinPartitions("booking_id", "ping_ts")
-        .write.mode(mode)
-        .partitionBy("ping_date")
-        .parquet(path)
-    )
-
-
 def fact_prediction(scored: DataFrame, model_name: str, model_version: str = "1") -> DataFrame:
     """Prediction rows from a scored frame (late probability, risk)."""
     pred_delay = F.col("predicted_delay_h") if "predicted_delay_h" in scored.columns else F.lit(None)
@@ -187,10 +172,6 @@ def fact_prediction(scored: DataFrame, model_name: str, model_version: str = "1"
     )
 
 
-def write_fact_prediction(pred: DataFrame, path: str) -> None:
-    pred.write.mode("append").parquet(path)
-
-
 def mv_supplier_segment(facts: DataFrame, suppliers: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Fact x supplier x vehicle, view banding (NULL distance -> last band)."""
     f = facts.join(suppliers.select("supplier_id"), "supplier_id").join(

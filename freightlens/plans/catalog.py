@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_core", "q_kpis", "q_profile", "q_gps", "q_rules", "q_ml", "q_models", "q_stream"]
+_MODULES = ["q_core", "q_kpis", "q_profile", "q_gps", "q_rules", "q_ml", "q_models", "q_stream", "q_sinks"]
 
 
 def _load():

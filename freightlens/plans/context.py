@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.clean import clean_shipments
-from ..session import materialize
+from ..session import materialize, release_tables
 from ..operators.features import engineer_features
 from ..sources import fixtures
 
@@ -38,22 +38,34 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.shipments(spark, sf_dir)
 
 
-def cleaned(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
-    """Clean shipments; with ``persist`` the dedupe + rules stage is written
+def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw sheet as a table: profiles and counts read its columns instead of joining it together again."""
+    return _memo(spark, sf_dir, "landed", lambda: raw(spark, sf_dir), True)
+
+
+def _clean(spark: SparkSession, sf_dir: str, persist: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Clean shipments and quality log; with ``persist`` the dedupe + rules stage is written
     once and the cheap imputation step runs on top of that table."""
     k = _key(spark, sf_dir, "clean")
     if k not in _FRAMES:
         write = (lambda df: materialize(df, "ruled")) if persist else None
-        _FRAMES[k] = clean_shipments(raw(spark, sf_dir), materialize=write)[0]
+        _FRAMES[k] = clean_shipments(raw(spark, sf_dir), write)
     return _FRAMES[k]
 
 
+def cleaned(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
+    return _clean(spark, sf_dir, persist)[0]
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_shipments(raw(spark, sf_dir))[1]
+    k = _key(spark, sf_dir, "quality")
+    if k not in _FRAMES:
+        _FRAMES[k] = clean_shipments(landed(spark, sf_dir), lambda df: materialize(df, "ruled-for-log"), landed(spark, sf_dir))[1]
+    return _FRAMES[k]
 
 
 def enriched(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
-    return _memo(spark, sf_dir, "enriched", lambda: engineer_features(cleaned(spark, sf_dir)), persist)
+    return _memo(spark, sf_dir, "enriched", lambda: engineer_features(cleaned(spark, sf_dir), lambda df, name: materialize(df, name) if persist else df), persist)
 
 
 def dimensions(spark: SparkSession, sf_dir: str) -> dict:
@@ -72,8 +84,9 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.gps_pings(spark, sf_dir)
 
 
-def release(spark: SparkSession | None = None) -> None:
+def release(spark: SparkSession) -> None:
+    """Forget the shared frames and remove their tables, so that the next query builds them from the input as it is then."""
     for k in list(_FRAMES):
-        if spark is None or k[0] == id(spark):
-            v = _FRAMES.pop(k)
-            del v  # tables stay in the checkpoint folder; nothing cached in memory
+        if k[0] == id(spark):
+            del _FRAMES[k]
+    release_tables(spark)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gps as G
+from ..sources import fixtures
+from ..streaming.pings import parse_payload
 from . import context as ctx
 from .common import rounded
 from .oracle_sql import hav, hours, rnd, with_enriched
@@ -37,6 +39,19 @@ segs AS (
   FROM seg2)"""
 
 
+_LAST = fixtures.FEED_BATCHES - 1
+
+# The live feed: late pings, and pings sent again in their own or the next batch (see fixtures.ping_feed).
+FEED_CTE = PINGS_CTE + f""",
+feed0 AS (SELECT *, epoch_us(gps_ping_time) AS us, epoch_us(gps_ping_time) + CASE WHEN ping_seq % 10 = 3 THEN 2400000000
+  WHEN ping_seq % 97 = 5 THEN 259200000000 ELSE 0 END AS arrival FROM pings WHERE gps_ping_time IS NOT NULL),
+sent AS (SELECT feed0.*, least({_LAST}, ((arrival - lo) * {fixtures.FEED_BATCHES}) // (hi - lo + 1)) AS b0 FROM feed0,
+  (SELECT min(us) AS lo, max(us) AS hi FROM feed0)),
+feed AS (SELECT *, b0 AS b FROM sent UNION ALL SELECT *, least({_LAST}, b0 + 1) FROM sent WHERE ping_seq % 13 = 2
+  UNION ALL SELECT *, b0 FROM sent WHERE ping_seq % 29 = 4),
+valid AS (SELECT * FROM feed WHERE booking_id IS NOT NULL AND current_lat BETWEEN -90 AND 90 AND current_lon BETWEEN -180 AND 180)"""
+
+
 def wsql(body: str, ctes: str = SEG_CTE) -> str:
     return f"WITH {ctes}\n{body}"
 
@@ -97,7 +112,7 @@ FROM segs WHERE booking_id IS NOT NULL GROUP BY booking_id"""
 
 
 def idle_episodes(spark, sf_dir):
-    ep = G.idle_episodes(_segments(spark, sf_dir))
+    ep = G.idle_episodes(G.preprocess_trajectory(ctx.pings(spark, sf_dir), keep_bucket=True))
     return rounded(ep.select("booking_id", "episode_no", _us("episode_start"), _us("episode_end"),
                              "idle_hours", "idle_km", "segments"))
 
@@ -159,16 +174,13 @@ SQL["track"] = wsql(
 
 
 def dedupe_pings(spark, sf_dir):
-    d = G.dedupe_pings(ctx.pings(spark, sf_dir))
-    return rounded(d.select("booking_id", _us("gps_ping_time"), "current_lat", "current_lon", "ping_seq"))
+    d = G.dedupe_pings(parse_payload(fixtures.ping_feed(spark, sf_dir)))
+    return rounded(d.select("booking_id", _us("gps_ping_time"), "current_lat", "current_lon", "gps_provider"))
 
 
 Q["dedupe_pings"] = dedupe_pings
 SQL["dedupe_pings"] = wsql(
-    f"""SELECT booking_id, epoch_us(gps_ping_time) AS gps_ping_time_us, {rnd('current_lat')} AS current_lat,
-  {rnd('current_lon')} AS current_lon, ping_seq FROM (
-  SELECT *, row_number() OVER (PARTITION BY booking_id, gps_ping_time ORDER BY ping_seq) AS rn FROM pings
-  WHERE booking_id IS NOT NULL AND gps_ping_time IS NOT NULL AND current_lat BETWEEN -90 AND 90
-    AND current_lon BETWEEN -180 AND 180) WHERE rn = 1""",
-    PINGS_CTE,
+    f"""SELECT DISTINCT booking_id, us AS gps_ping_time_us, {rnd('current_lat')} AS current_lat, {rnd('current_lon')} AS current_lon,
+  gps_provider FROM valid""",
+    FEED_CTE,
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import COLUMN_MAP
+from ..config import COLUMN_MAP, SHIPMENT_SCHEMA
 from ..functions.columns import r
 from ..operators import diagnostics as D
 from ..operators import profile as P
@@ -17,7 +17,7 @@ SQL: dict = {}
 
 
 def _raw(spark, sf_dir):
-    return ctx.raw(spark, sf_dir).drop("_tie")
+    return ctx.landed(spark, sf_dir).drop("_tie")
 
 
 def _on_raw(fn):
@@ -52,9 +52,14 @@ SQL["profile_counts"] = with_raw(
 FROM raw"""
 )
 
-Q["profile_schema"] = lambda spark, sf_dir: P.profile_schema(_raw(spark, sf_dir))
-
 _CANON = list(COLUMN_MAP.values())
+Q["profile_schema"] = lambda spark, sf_dir: P.profile_schema(_raw(spark, sf_dir), _CANON)
+SQL["profile_schema"] = with_raw(
+    " UNION ALL ".join(
+        f"SELECT {i} AS position, '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS dtype, count({f.name}) AS non_null FROM raw"
+        for i, f in enumerate(SHIPMENT_SCHEMA.fields))
+)
+
 Q["profile_missing"] = _on_raw(P.profile_missing)
 SQL["profile_missing"] = with_raw(
     "SELECT column_name, " + rnd(rnd("v", 2)) + " AS missing_pct FROM (UNPIVOT (SELECT "

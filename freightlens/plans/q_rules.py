@@ -124,7 +124,7 @@ SQL["fact_shipment"] = with_enriched(
     FACT_CTE,
 )
 
-# --- S8 (rows-only: decimal sink of the trajectory) -------------------------------
+# --- S8: decimal sink of the trajectory (written and read back in q_sinks) ----------
 Q["fact_gps_ping"] = lambda spark, sf_dir: W.fact_gps_ping(G.preprocess_trajectory(ctx.pings(spark, sf_dir)))
 
 
@@ -137,30 +137,25 @@ def mv_supplier_segment(spark, sf_dir):
 
 
 Q["mv_supplier_segment"] = mv_supplier_segment
+_VIEW_EDGES = [(100, "0-100km"), (300, "100-300km"), (600, "300-600km"), (1200, "600-1200km")]
+_VIEW_BAND = "CASE " + " ".join(f"WHEN km <= {edge} THEN '{name}'" for edge, name in _VIEW_EDGES) + " ELSE '1200km+' END"
 SQL["mv_supplier_segment"] = with_enriched(
-    f"""SELECT f.supplier_id,
-  CASE WHEN f.distance_km <= 100 THEN '0-100km' WHEN f.distance_km <= 300 THEN '100-300km'
-       WHEN f.distance_km <= 600 THEN '300-600km' WHEN f.distance_km <= 1200 THEN '600-1200km'
-       ELSE '1200km+' END AS distance_band,
-  v.vehicle_type, count(*) AS bookings,
-  {rnd('avg(CASE WHEN f.is_ontime THEN 1.0e0 ELSE 0.0e0 END)')} AS ontime_rate,
-  {rnd('avg(CAST(f.delay_hours AS DOUBLE))')} AS avg_delay_hours,
-  {rnd('avg(' + hours('f.trip_start_ts', 'f.booking_ts') + ')')} AS avg_wait_hours
-FROM fact f JOIN dsup s ON f.supplier_id = s.supplier_id JOIN dveh v ON f.vehicle_id = v.vehicle_id
-GROUP BY 1, 2, 3""",
+    f"""SELECT supplier_id, distance_band, vehicle_type, count(*) AS bookings, {rnd('sum(punctual) / count(*)')} AS ontime_rate,
+  {rnd('avg(late_h)')} AS avg_delay_hours, {rnd('avg(wait_h)')} AS avg_wait_hours
+FROM (SELECT supplier_id, {_VIEW_BAND} AS distance_band, kind AS vehicle_type, punctual, late_h, wait_h FROM (
+  SELECT fact.supplier_id, fact.distance_km AS km, dveh.vehicle_type AS kind, CASE WHEN is_ontime THEN 1.0e0 ELSE 0.0e0 END AS punctual,
+    CAST(delay_hours AS DOUBLE) AS late_h, {hours('trip_start_ts', 'booking_ts')} AS wait_h
+  FROM fact SEMI JOIN dsup USING (supplier_id) JOIN dveh USING (vehicle_id)))
+GROUP BY ALL""",
     FACT_CTE,
 )
 
 # --- N1-N11 -----------------------------------------------------------------------
-REC_TAIL = "CAST(n AS BIGINT) AS n, {b} AS baseline_value, {c} AS comparison_value, {t} AS target_value"
-
-
-def rec_sql(rule: str, prio: str, initiative: str, metric: str, subject: str, n: str, b: str, c: str, t: str,
-            src: str) -> str:
+def rec_sql(rule: str, prio: str, metric: str, subject: str, n: str, b: str, c: str, t: str, src: str) -> str:
     return (
-        f"SELECT '{rule}' AS rule_id, '{prio}' AS priority, {initiative} AS initiative, '{metric}' AS kpi_metric, "
-        f"CAST({subject} AS VARCHAR) AS subject, CAST({n} AS BIGINT) AS n, {rnd(b)} AS baseline_value, "
-        f"{rnd(c)} AS comparison_value, {rnd(t)} AS target_value FROM {src}"
+        f"SELECT '{rule}' AS rule_id, '{prio}' AS priority, '{metric}' AS metric, CAST({subject} AS VARCHAR) AS subject, "
+        f"CAST({n} AS BIGINT) AS n, {rnd(f'CAST({b} AS DOUBLE)')} AS baseline_value, "
+        f"{rnd(f'CAST({c} AS DOUBLE)')} AS comparison_value, {rnd(f'CAST({t} AS DOUBLE)')} AS target_value FROM {src}"
     )
 
 
@@ -172,16 +167,14 @@ _PCT = rnd("avg(is_ontime) * 100", 2)
 _TGT = f"least({rnd('b + 12', 1)}, 55.0e0)"
 Q["rec_network"] = _on(N.rec_network)
 SQL["rec_network"] = with_enriched(
-    rec_sql("N1", "P0", "'OTIF control tower & weekly lane review'", "Network on-time rate (%)", "'network'",
+    rec_sql("N1", "P0", "network_ontime_pct", "'network'",
             "n", "b", f"{_TGT} - b", _TGT,
             f"(SELECT count(DISTINCT booking_id) AS n, {_PCT} AS b FROM enriched WHERE booking_id IS NOT NULL)")
 )
 
-_LANE = ("CASE WHEN length(replace(route_id, '→', ' to ')) > 55 THEN substr(replace(route_id, '→', ' to '), 1, 55)"
-         " || '...' ELSE replace(route_id, '→', ' to ') END")
 Q["rec_lanes"] = _on(N.rec_lanes)
 SQL["rec_lanes"] = with_enriched(
-    rec_sql("N2", "P0", f"'Lane recovery plan: ' || {_LANE}", "Lane on-time rate (%)", "route_id", "total_bookings",
+    rec_sql("N2", "P0", "lane_ontime_pct", "route_id", "total_bookings",
             "ontime_rate_pct", "avg_delay_hours", "50.0e0",
             f"(SELECT * FROM ({segment_sql('route_id', 20)}) WHERE total_bookings >= 25 "
             "ORDER BY ontime_rate_pct, total_bookings DESC, route_id LIMIT 3)")
@@ -189,15 +182,14 @@ SQL["rec_lanes"] = with_enriched(
 
 Q["rec_suppliers"] = _on(N.rec_suppliers)
 SQL["rec_suppliers"] = with_enriched(
-    rec_sql("N3", "P1", "'Carrier corrective action: ' || substr(supplier_name, 1, 40)", "Supplier segment OTIF (%)",
-            "supplier_name", "total_bookings", "ontime_rate_pct", "avg_delay_hours", "NULL",
+    rec_sql("N3", "P1", "supplier_ontime_pct", "supplier_name", "total_bookings", "ontime_rate_pct", "avg_delay_hours", "NULL",
             f"(SELECT * FROM ({segment_sql('supplier_name', 40)}) "
             "ORDER BY ontime_rate_pct, total_bookings DESC, supplier_name LIMIT 3)")
 )
 
 Q["rec_customer"] = _on(N.rec_customer, CUSTOMER_PATTERN)
 SQL["rec_customer"] = with_enriched(
-    rec_sql("N4", "P1", "'Enterprise customer lane-SLA reset'", "Customer OTIF (%)", "customer_name",
+    rec_sql("N4", "P1", "customer_ontime_pct", "customer_name",
             "total_bookings", "ontime_rate_pct", "NULL", "35.0e0",
             f"(SELECT * FROM ({segment_sql('customer_name', 30)}) WHERE customer_name ILIKE '%{CUSTOMER_PATTERN}%' "
             "ORDER BY total_bookings DESC, customer_name LIMIT 1)")
@@ -208,8 +200,7 @@ MAT_SQL = """(SELECT material_group, count(booking_id) AS bookings, quantile_con
   FROM enriched WHERE material_group IS NOT NULL GROUP BY material_group)"""
 Q["rec_material"] = _on(N.rec_material, MATERIAL)
 SQL["rec_material"] = with_enriched(
-    rec_sql("N5", "P1", f"'{MATERIAL} dedicated fleet program'", "Material OTIF & median trip days",
-            "material_group", "bookings", "ontime_rate * 100", "median_trip_days",
+    rec_sql("N5", "P1", "material_ontime_pct", "material_group", "bookings", "ontime_rate * 100", "median_trip_days",
             "greatest(median_trip_days * 0.85e0, 3.0e0)", f"{MAT_SQL} WHERE material_group = '{MATERIAL}'")
 )
 
@@ -230,49 +221,54 @@ COH = "(SELECT " + ", ".join([
 
 Q["rec_detour"] = _on(N.rec_detour)
 SQL["rec_detour"] = with_enriched(
-    rec_sql("N6", "P1", "'Route engineering - detour ratio cap'", "OTIF on trips with detour ratio > 1.5",
-            "'detour_ratio>1.5'", "detour_high_n", "detour_high_ot", "detour_low_ot",
+    rec_sql("N6", "P1", "high_detour_ontime_pct", "'detour_ratio>1.5'", "detour_high_n", "detour_high_ot", "detour_low_ot",
             "detour_high_ot + (detour_low_ot - detour_high_ot) / 2.0e0",
             f"{COH} WHERE detour_high_n > 50 AND detour_low_n > 50")
 )
 
 Q["rec_haul"] = _on(N.rec_haul)
 SQL["rec_haul"] = with_enriched(
-    rec_sql("N7", "P2", "'Long-haul dispatch standard work'", "Long-haul OTIF (%)", "'long_haul'", "long_haul_n",
+    rec_sql("N7", "P2", "haul_ontime_pct", "'long_haul'", "long_haul_n",
             "long_haul_ot", "NULL", "long_haul_ot + 7", f"{COH} WHERE long_haul_n >= 100")
     + " UNION ALL "
-    + rec_sql("N7", "P2", "'Short-haul dispatch standard work'", "Short-haul OTIF (%)", "'short_haul'",
+    + rec_sql("N7", "P2", "haul_ontime_pct", "'short_haul'",
               "short_haul_n", "short_haul_ot", "NULL", "short_haul_ot + 7", f"{COH} WHERE short_haul_n >= 100")
 )
 
 Q["rec_shipment_type"] = _on(N.rec_shipment_type)
 SQL["rec_shipment_type"] = with_enriched(
-    rec_sql("N8", "P2", "'Spot (Market) shipment gate'", "Market shipment OTIF (%)", "'Market'", "market_n",
+    rec_sql("N8", "P2", "market_ontime_pct", "'Market'", "market_n",
             "market_ot", "regular_ot", "regular_ot - 5", f"{COH} WHERE market_n >= 20")
 )
 
 Q["rec_idle"] = _on(N.rec_idle)
 SQL["rec_idle"] = with_enriched(
-    rec_sql("N9", "P1", "'GPS cadence & dwell-time SLA with carriers'", "GPS compliance & idle days > 1 per trip (%)",
-            "'idle_days_proxy>1'", "rows", "idle_pct", "NULL", "idle_pct * 0.75e0", COH)
+    rec_sql("N9", "P1", "idle_over_one_day_pct", "'idle_days_proxy>1'", "rows", "idle_pct", "NULL", "idle_pct * 0.75e0", COH)
 )
 
 Q["rec_imputed"] = _on(N.rec_imputed)
 SQL["rec_imputed"] = with_enriched(
-    rec_sql("N10", "P2", "'Vehicle master data hard-stop at booking'", "Bookings with valid vehicle_type (%)",
-            "'vehicle_type'", "rows", "100 - imputed_pct", "imputed_pct", "99.0e0", f"{COH} WHERE imputed_pct > 5")
+    rec_sql("N10", "P2", "vehicle_type_complete_pct", "'vehicle_type'", "rows", "100 - imputed_pct", "imputed_pct", "99.0e0", f"{COH} WHERE imputed_pct > 5")
 )
 
 MONTHLY_SQL = f"""(SELECT booking_month, count(booking_id) AS bookings,
   {rnd('avg(is_late) * 100', 2)} AS late_rate_pct, avg(delay_hours) AS avg_delay_h FROM enriched GROUP BY booking_month)"""
 Q["rec_peak"] = _on(N.rec_peak)
 SQL["rec_peak"] = with_enriched(
-    rec_sql("N11", "P1", "'Peak-season capacity plan (' || booking_month || ')'", "Peak-month late rate (%)",
-            "booking_month", "bookings", "late_rate_pct", "NULL", "late_rate_pct - 10",
+    rec_sql("N11", "P1", "peak_month_late_pct", "booking_month", "bookings", "late_rate_pct", "NULL", "late_rate_pct - 10",
             f"(SELECT * FROM {MONTHLY_SQL} ORDER BY late_rate_pct DESC, booking_month LIMIT 1) "
             f"WHERE (SELECT count(*) FROM {MONTHLY_SQL}) >= 3")
 )
 
+Q["recommendations"] = _on(N.recommendations, CUSTOMER_PATTERN, MATERIAL)
+SQL["recommendations"] = with_enriched(
+    " UNION ALL ".join(
+        f"SELECT * FROM ({SQL[k][len(with_enriched('')):]})"
+        for k in ("rec_network", "rec_lanes", "rec_suppliers", "rec_customer", "rec_material", "rec_detour", "rec_haul", "rec_shipment_type",
+                  "rec_idle", "rec_imputed", "rec_peak")
+    )
+)
+
 # --- S10 metric extract ---------------------------------------------------------------
 Q["metric_extract"] = _on(N.metric_extract, CUSTOMER_PATTERN, MATERIAL)
 

@@ -60,12 +60,24 @@ def is_local(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+#: Folders of the tables that ``materialize`` wrote, by session.
+_TABLES: dict[int, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as a Parquet table under the cluster's checkpoint folder
     and read it back: lineage is cut, a lost executor re-reads files, and
     later jobs get column pruning and true size statistics (so Catalyst's
-    broadcast decisions see the real size)."""
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    broadcast decisions see the real size).  ``release_tables`` removes them."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _TABLES.setdefault(id(spark), []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Remove the tables written in this session; frames that read them can't be used any more."""
+    for path in _TABLES.pop(id(spark), []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -153,3 +153,54 @@ def gps_pings(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
         F.timestamp_micros(F.unix_micros(ts) + (eid % 120) * 1_000_000).alias("ingest_ts"),
         eid.alias("ping_seq"),
     )
+
+
+#: Batches of the ping feed.
+FEED_BATCHES = 3
+
+
+def ping_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pings as messages of a live feed: booking_id, value (JSON body), ingest_ts, batch.
+
+    Batches are slices of arrival time.  One ping in ten arrives 40 minutes late, one in 97 three
+    days late; one in 13 is sent again in the next batch, one in 29 twice in its own.
+    """
+    p = gps_pings(spark, sf_dir).where(F.col("gps_ping_time").isNotNull()).withColumn("us", F.unix_micros("gps_ping_time"))
+    lo, hi = p.agg(F.min("us"), F.max("us")).first()
+    if lo is None:
+        lo, hi = 0, 0
+    seq = F.col("ping_seq")
+    late = F.when(seq % 10 == 3, F.lit(2_400_000_000)).when(seq % 97 == 5, F.lit(3 * 86_400_000_000)).otherwise(F.lit(0))
+    p = p.withColumn("late", late).withColumn(
+        "batch", F.least(F.lit(FEED_BATCHES - 1), F.expr(f"((us + late - {lo}) * {FEED_BATCHES}) div {hi - lo + 1}"))
+    )
+    last = F.lit(FEED_BATCHES - 1)
+    sent = F.array(F.col("batch"), F.when(seq % 13 == 2, F.least(last, F.col("batch") + 1)), F.when(seq % 29 == 4, F.col("batch")))
+    body = F.struct(
+        F.col("gps_ping_time").alias("ping_ts"), F.col("current_lat").alias("latitude"), F.col("current_lon").alias("longitude"),
+        F.lit(None).cast("double").alias("speed_kmph"), F.lit(None).cast("double").alias("heading_deg"), "gps_provider",
+    )
+    return p.select(
+        "booking_id", F.to_json(body, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("value"), "ingest_ts",
+        F.explode(F.filter(sent, lambda b: b.isNotNull())).alias("batch"),
+    )
+
+
+def booking_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of the bookings that ping, in two versions: the destination moves and the ETA slips on 15 January."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    versions = F.array(
+        F.struct(F.lit(0).alias("v"), F.lit("1970-01-01").alias("a"), F.lit("2024-01-15").alias("b")),
+        F.struct(F.lit(1).alias("v"), F.lit("2024-01-15").alias("a"), F.lit("9999-01-01").alias("b")),
+    )
+    c = c.select("*", F.explode(versions).alias("x")).select("c_custkey", "c_nationkey", "x.*")
+    key, v = F.col("c_custkey"), F.col("v")
+    return c.select(
+        F.concat(F.lit("U"), key.cast("string")).alias("booking_id"), (v + 1).alias("version"),
+        F.col("a").cast("timestamp").alias("valid_from"), F.col("b").cast("timestamp").alias("valid_to"),
+        F.concat(F.lit("C"), key.cast("string")).alias("customer_name"),
+        (F.lit(9.5) + (F.col("c_nationkey") + v) % 25).cast("double").alias("dest_lat"),
+        (F.lit(68.5) + (F.col("c_nationkey") * 7) % 25).cast("double").alias("dest_lon"),
+        F.when(key % 11 == 0, F.lit(None).cast("double")).otherwise(F.lit(100.0) + (key % 4) * 75.0).alias("min_daily_km"),
+        add_hours(F.lit("2024-01-08").cast("timestamp"), (key % 20) * 24 + v * 48).alias("planned_eta"),
+    )

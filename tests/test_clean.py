@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import shipments, ts
+from shipment_rows import shipments, ts
 from freightlens.operators.clean import clean_shipments, dedupe_bookings
 
 

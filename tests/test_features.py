@@ -1,4 +1,4 @@
-from conftest import shipments, ts
+from shipment_rows import shipments, ts
 from freightlens.operators.clean import clean_shipments
 from freightlens.operators.features import engineer_features
 from freightlens.operators.kpis import executive_kpis, fleet_utilization, segment_performance

@@ -141,3 +141,80 @@ def test_quantiles_of_equal_values_and_of_nothing(spark):
     none = spark.createDataFrame([], "booking_id string, booking_date timestamp")
     row = profile_counts(none).collect()
     assert len(row) == 1 and row[0].row_count == 0 and row[0].median_pings_per_booking is None
+
+
+def test_fence_cells_find_all_and_few(spark):
+    """Fences of very different radius, at the poles and the date line: all pings within are found, and few others looked at."""
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from freightlens.operators import geofence as GF
+
+    rng = random.Random(4)
+    fences = [(f"F{i}", rng.uniform(-89.9, 89.9), rng.uniform(-180, 180), rng.choice([0.05, 1.0, 3.0, 40.0, 900.0])) for i in range(300)]
+    fences += [("N", 89.99, 10.0, 30.0), ("S", -90.0, 0.0, 5.0), ("E", 0.0, 180.0, 3.0), ("W", 5.0, -179.999, 50.0)]
+    pings = []
+    for _, lat, lon, rad in fences:
+        for share in (0.2, 0.97, 1.03):
+            a, d = rng.uniform(0, 2 * math.pi), rad * share / 6371.0
+            p, q = math.radians(lat), math.radians(lon)
+            y = math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(a))
+            x = q + math.atan2(math.sin(a) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(y))
+            pings.append((len(pings), math.degrees(y), (math.degrees(x) + 180) % 360 - 180))
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(h, 1.0)))
+
+    want = {}
+    for i, lat, lon in pings:
+        near = [(km(lat, lon, y, x), f) for f, y, x, rad in fences if km(lat, lon, y, x) <= rad]
+        want[i] = min(near)[1] if near else None
+    fs = spark.createDataFrame(fences, "fence_id string, lat double, lon double, radius_km double")
+    ps = spark.createDataFrame(pings, "i long, current_lat double, current_lon double")
+    got = {r.i: r.fence_id for r in GF.nearest_fence(ps, fs, ["i"]).collect()}
+    assert got == want and sum(v is not None for v in got.values()) > 600
+    cells = GF.fence_cells(fs)
+    assert cells.groupBy("fence_id").count().agg(F.max("count")).first()[0] <= 6 * 90  # 900 km: six rows of cells, all round near a pole
+    small = cells.where("radius_km <= 40 and abs(lat) < 80").groupBy("fence_id").count()
+    assert small.agg(F.max("count")).first()[0] <= 4
+
+
+def test_candidates_per_ping_do_not_grow_with_the_area(spark):
+    """Ten times the fences over ten times the area: as many candidates a ping."""
+    from pyspark.sql import functions as F
+
+    from freightlens.operators import geofence as GF
+
+    def candidates(n):
+        at = spark.range(n).select(F.concat(F.lit("F"), F.col("id").cast("string")).alias("fence_id"), (F.col("id") % 40 * 0.05).alias("lat"),
+                                   (F.floor(F.col("id") / 40) * 0.05).alias("lon"), F.lit(3.0).alias("radius_km"))
+        cells = GF.fence_cells(at)
+        pings = GF.with_cells(at.select(F.col("lat").alias("current_lat"), F.col("lon").alias("current_lon")), GF.levels_of(cells))
+        return pings.join(cells, GF.CELL).count() / n
+
+    assert candidates(8000) < 1.2 * candidates(800) < 1.2 * 12
+
+
+@pytest.mark.parametrize("few", [-1, 10**9])
+def test_quantiles_by_both_ways(spark, monkeypatch, few):
+    """The distributed ranks and the percentile over counted values agree with numpy, also with a hot value and a NULL group."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from freightlens.operators import quantiles as QU
+
+    monkeypatch.setattr(QU, "FEW_VALUES", few)
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x)) for x in rng.normal(0, 9, 400)] + [("a", 1.5)] * 300 + [(None, float(x)) for x in rng.integers(0, 7, 50)] + [("b", 2.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.q0, r.q1, r.q2) for r in QU.exact_quantiles(df, "x", [0.0, 0.5, 0.9], ["g"]).collect()}
+    assert set(got) == {"a", "b", None}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([x for h, x in rows if h == g and x is not None], [0.0, 0.5, 0.9]))
+    whole = QU.exact_quantiles(df, "x", [0.25, 0.75], names=["lo", "hi"]).collect()
+    assert len(whole) == 1 and np.allclose(list(whole[0]), np.quantile([x for _, x in rows if x is not None], [0.25, 0.75]))
+    assert QU.exact_quantiles(df.where(F.lit(False)), "x", [0.5]).count() == 0

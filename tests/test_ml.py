@@ -49,3 +49,66 @@ def test_isolation_forest_flags_about_contamination(spark):
     assert 0 < flagged <= max(1, round(0.08 * n) + 2)
     assert all(0.0 < r.anomaly_score <= 1.0 for r in out)
     assert all((r.anomaly_label == -1) == r.is_anomaly for r in out)
+
+
+def test_planted_feature_ranks_first(spark):
+    """The only column the target depends on has by far the largest importance; a constant one has none."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor
+
+    df = spark.range(600).select(
+        F.concat(F.lit("B"), F.col("id").cast("string")).alias("booking_id"), (F.col("id") * 37 % 101).cast("double").alias("x"),
+        (F.col("id") * 53 % 89).cast("double").alias("z"), F.lit(1.0).alias("one"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("c"),
+    ).withColumn("delay_hours", F.col("x") * 2.0)
+    m = ML.split(df)
+    caps = {"c": ["a", "b"]}
+    gbt = GBTRegressor(featuresCol="features", labelCol="delay_hours", maxIter=5, maxDepth=3, seed=1)
+    model = Pipeline(stages=ML.preprocessor(["x", "z", "one"], caps) + [gbt]).fit(m.where("split = 'train'"))
+    bundle = ML.ModelBundle("planted", "delay_hours", ["x", "z", "one"], ["c"], model, {}, m.where("split = 'test'"))
+    imp = {r.feature: r.importance_mean for r in ML.permutation_importance(bundle, repeats=3).collect()}
+    assert imp["x"] > 1.0 and imp["x"] > 10 * abs(imp["z"]) and imp["one"] == 0.0
+
+
+def test_batch_score_fills_eta_and_delay(spark):
+    """One row in, one row out, also for bookings without id; the delay is the ETA against plan."""
+    e = ctx.enriched(spark, SF)
+    bundle, eta = ML.train_delay_classifier(e, max_iter=2, max_depth=2), ML.train_eta_model(e, max_iter=2, max_depth=2)
+    scored = ML.batch_score(e, bundle, eta)
+    assert scored.count() == e.count()
+    odd = scored.where(F.col("predicted_eta_ts").isNotNull() & F.col("planned_eta").isNotNull() & (F.abs(
+        F.col("predicted_delay_h") - (F.unix_micros("predicted_eta_ts") - F.unix_micros("planned_eta")) / 3.6e9) > 1e-6))
+    assert odd.count() == 0 and scored.where("predicted_delay_h is not null").count() > 0
+
+
+def test_forest_depth(spark):
+    e = ctx.enriched(spark, SF)
+    rf = ML.train_delay_classifier(e, max_iter=3, algorithm="rf")
+    assert rf.model.stages[-1].getOrDefault("maxDepth") == 8
+
+
+def _plain_score(point, nodes, psi):
+    """Walk one point down every tree, node by node."""
+    total = 0.0
+    for tree in nodes.values():
+        at = tree[0]
+        while at.feature >= 0:
+            at = tree[at.left if point[at.feature] < at.threshold else at.right]
+        total += at.depth + IF.c_factor(at.size)
+    return 2.0 ** (-total / len(nodes) / IF.c_factor(psi))
+
+
+def test_forest_scores_equal_a_plain_walk(spark):
+    """Exactly 256 distinct rows a tree; flat arrays give the scores of a walk; the planted outlier scores highest."""
+    v = spark.range(3000).select(F.concat(F.lit("R"), F.col("id").cast("string")).alias("k"), F.when(F.col("id") == 7, 90.0).otherwise((F.col("id") * 37 % 101) / 10.0).alias("x"),
+                                 F.when(F.col("id") == 7, -50.0).otherwise((F.col("id") * 53 % 89) / 10.0).alias("y"))
+    nodes, psi = IF.fit_forest(v, "k", ["x", "y"], n_trees=12)
+    drawn = IF.samples(v, "k", ["x", "y"], 3000, 12, psi, 42).groupBy("tree").agg(F.count("*").alias("n"), F.countDistinct("_key").alias("d")).collect()
+    assert psi == 256 and len(drawn) == 12 and all(256 <= r.n == r.d < 700 for r in drawn)
+    rows = nodes.collect()
+    trees = {t: {r.node: r for r in rows if r.tree == t} for t in {r.tree for r in rows}}
+    assert all(tree[0].size == 256 for tree in trees.values())
+    got = {r.k: (r.anomaly_score, (r.x, r.y)) for r in IF.score_forest(v, nodes, ["x", "y"], psi).collect()}
+    assert all(abs(s - _plain_score(p, trees, psi)) < 1e-12 for s, p in got.values())
+    assert max(got, key=lambda k: got[k][0]) == "R7"
+    assert IF.route_anomalies(v.limit(0), "k", ["x", "y"], n_trees=3).count() == 0
+    assert IF.route_anomalies(v.limit(1), "k", ["x", "y"], n_trees=3).count() == 1

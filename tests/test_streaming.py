@@ -3,11 +3,22 @@ import os
 import tempfile
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from freightlens.config import PING_SCHEMA
 from freightlens.operators.gps import preprocess_trajectory
 from freightlens.streaming import pings as S
+from freightlens.streaming.latest import latest_position_table, positions
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of a stateful batch starts a Python worker."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def _write(folder, name, rows):
@@ -42,20 +53,114 @@ def test_stream_dedupe_late_duplicate_invalid(spark):
     assert times == ["2024-01-02 00:00:00", "2024-01-02 05:00:00"]
 
 
+def _messages(spark, rows):
+    """Messages of (booking, time, lat, lon) in the documented payload."""
+    data = [(b, json.dumps({"ping_ts": t, "latitude": lat, "longitude": lon, "speed_kmph": 42.5, "heading_deg": 180, "gps_provider": "G0"}), None)
+            for b, t, lat, lon in rows]
+    return spark.createDataFrame(data, S.MESSAGE_SCHEMA)
+
+
+def _hours(b, hours, lat=10.0, step=0.01):
+    return [(b, f"2024-01-01T{h:02d}:00:00Z", lat + h * step, 70.0) for h in hours]
+
+
+def _segments(spark, batches, **options):
+    build = lambda m: S.live_segments(S.dedupe_stream(S.parse_payload(m)), watermark=None, **options)
+    return S.run_feed(spark, [_messages(spark, b) for b in batches], build, "seg-test")
+
+
+def _seen(df):
+    return sorted((r.booking_id, str(r.gps_ping_time), str(r.prev_time), None if r.segment_km is None else round(r.segment_km, 6), r.is_idle_segment)
+                  for r in df.collect())
+
+
 def test_live_segments_equal_batch(spark):
-    src = tempfile.mkdtemp(prefix="fl-stream-src-")
-    rows = [_ping("A", f"2024-01-01T{h:02d}:00:00", 10.0 + h * 0.01) for h in range(0, 20, 3)]
-    rows += [_ping("B", f"2024-01-01T{h:02d}:30:00", 11.0, 70.0 + h * 0.02) for h in range(0, 20, 4)]
-    _write(src, "a.json", rows[:6])
-    _write(src, "b.json", rows[6:])
-    stream = S.file_pings(spark, src, "json", PING_SCHEMA, max_files=1).withColumn(
-        "ping_seq", F.lit(0).cast("long")
-    )
-    live = S.run_append(S.live_segments(stream), "seg-test")
-    batch = preprocess_trajectory(spark.read.schema(PING_SCHEMA).json(src).withColumn("ping_seq", F.lit(0).cast("long")))
-    key = lambda r: (r.booking_id, str(r.gps_ping_time))
-    got = {key(r): (round(r.segment_km, 6) if r.segment_km is not None else None, r.is_idle_segment)
-           for r in live.collect()}
-    want = {key(r): (round(r.segment_km, 6) if r.segment_km is not None else None, r.is_idle_segment)
-            for r in batch.collect()}
-    assert got == want
+    """Pings out of order within the watermark, a replay and a restart for each batch give the batch trajectory."""
+    a, b = _hours("A", range(0, 20, 3)), _hours("B", range(1, 20, 4), 11.0, 0.0)
+    end = [("C", "2024-01-02T06:00:00Z", 1.0, 1.0)]
+    late = [("A", "2024-01-01T05:20:00Z", 10.02, 70.0)]  # 40 minutes before the latest: in time
+    live, n = _segments(spark, [a[:2] + b[:1], a[2:3] + b[1:2] + late + a[1:2], a[3:] + b[2:], end])
+    rows = [r for r in a + b + late]
+    batch = preprocess_trajectory(spark.createDataFrame(rows, "booking_id string, t string, current_lat double, current_lon double").select(
+        "booking_id", F.col("t").cast("timestamp").alias("gps_ping_time"), "current_lat", "current_lon", F.lit(0).alias("ping_seq")))
+    assert _seen(live) == _seen(batch)
+    assert n == 0  # the replay of A's second ping came in time and was dropped as a duplicate
+    assert any(r[4] for r in _seen(live))
+
+
+def test_late_pings_are_held_or_counted(spark):
+    """A ping 15 minutes late in a batch of its own is kept and put in its place; one too late is counted."""
+    pings = [("A", "2024-01-01T10:00:00Z", 10.0, 70.0), ("A", "2024-01-01T10:30:00Z", 10.2, 70.0), ("A", "2024-01-01T10:15:00Z", 10.1, 70.0),
+             ("A", "2024-01-01T15:00:00Z", 10.3, 70.0), ("A", "2024-01-01T09:00:00Z", 9.0, 70.0), ("Z", "2024-01-01T23:00:00Z", 0.0, 0.0)]
+    live, late = _segments(spark, [[p] for p in pings])
+    assert [(str(r.gps_ping_time)[11:16], r.prev_lat) for r in live.orderBy("gps_ping_time").collect()] == [
+        ("10:00", None), ("10:15", 10.0), ("10:30", 10.1), ("15:00", 10.2)]
+    assert late == 1
+
+
+def test_state_expires_with_the_trip(spark):
+    """After a silence the next ping has no predecessor, whether its state was removed yet or not."""
+    pings = [("A", "2024-01-01T10:00:00Z", 10.0, 70.0), ("B", "2024-01-03T10:00:00Z", 10.0, 70.0), ("A", "2024-01-04T10:00:00Z", 10.0, 70.0),
+             ("A", "2024-01-04T12:00:00Z", 11.0, 70.0), ("Z", "2024-01-09T00:00:00Z", 0.0, 0.0)]
+    for batches in ([[p] for p in pings], [pings[:4], pings[4:]]):
+        live, _ = _segments(spark, batches, expire_hours=24.0)
+        assert [(r.gps_ping_time.day, r.gps_ping_time.hour, r.prev_time is None) for r in live.where("booking_id = 'A'").orderBy("gps_ping_time").collect()] == [
+            (1, 10, True), (4, 10, True), (4, 12, False)]
+
+
+def test_payload(spark):
+    """The documented body parses; one that is no JSON, or has no time, gives a ping that validation drops."""
+    body = '{"ping_ts": "2026-05-24T14:32:11Z", "latitude": 19.0760, "longitude": 72.8777, "speed_kmph": 42.5, "heading_deg": 180, "gps_provider": "Consent Track"}'
+    m = spark.createDataFrame([("BK-10293", body, None), ("X", "no json", None), ("Y", '{"latitude": 1.0}', None), ("Z", None, None)], S.MESSAGE_SCHEMA)
+    p = S.parse_payload(m)
+    r = S.validate(p).collect()
+    assert len(r) == 1 and p.count() == 4
+    assert (r[0].booking_id, str(r[0].gps_ping_time), r[0].current_lat, r[0].current_lon, r[0].speed_kmph, r[0].heading_deg, r[0].gps_provider) == (
+        "BK-10293", "2026-05-24 14:32:11", 19.0760, 72.8777, 42.5, 180.0, "Consent Track")
+
+
+def test_fences_across_the_date_line(spark):
+    """A fence at 179.99 degrees finds the ping two kilometres east of it, on the other side; enter and exit follow."""
+    fences = spark.createDataFrame([("F", 10.0, 179.99, 3.0), ("N", 89.995, 0.0, 3.0)], "fence_id string, lat double, lon double, radius_km double")
+    pings = [("A", "2024-01-01T10:00:00Z", 10.0, 170.0), ("A", "2024-01-01T11:00:00Z", 10.0, -179.992), ("A", "2024-01-01T12:00:00Z", 10.0, -170.0),
+             ("P", "2024-01-01T12:00:00Z", 89.99, 180.0), ("Z", "2024-01-02T12:00:00Z", 0.0, 0.0)]
+    build = lambda m: S.live_geofence(S.dedupe_stream(S.parse_payload(m)), fences, watermark=None)
+    got, _ = S.run_feed(spark, [_messages(spark, pings[:2]), _messages(spark, pings[2:])], build, "fence-test")
+    assert sorted((r.booking_id, r.gps_ping_time.hour, r.event_type, r.fence_id) for r in got.collect()) == [
+        ("A", 11, "enter", "F"), ("A", 12, "exit", "F"), ("P", 12, "enter", "N")]
+
+
+def test_rules_over_two_metrics(spark):
+    rules = [S.AlertRule("IDLE", "idle", (("segment_speed_kmph", "<", 2.0), ("delta_hours", ">=", 2.0)))]
+    t = spark.createDataFrame([("A", 1, 1.0, 3.0, None), ("B", 1, 1.0, 1.0, "F"), ("C", 1, None, 3.0, None), ("A", 2, 9.0, 3.0, "G")],
+                              "booking_id string, ping_seq long, segment_speed_kmph double, delta_hours double, fence_id string")
+    t = t.withColumn("gps_ping_time", F.timestamp_seconds("ping_seq"))
+    log = S.live_alerts(t, rules)
+    assert {(r.booking_id, r.ping_seq): [(a.rule_id, a.detail) for a in r.alerts] for r in log.collect()} == {
+        ("A", 1): [("IDLE", None)], ("B", 1): [("IN_FENCE", "F")], ("C", 1): [], ("A", 2): [("IN_FENCE", "G")]}
+    assert sorted((r.booking_id, r.rule_id, r.detail) for r in S.active_alerts(log).collect()) == [("A", "IN_FENCE", "G"), ("B", "IN_FENCE", "F")]
+
+
+def test_latest_table_is_bounded_and_replayable(spark):
+    """Twenty batches, some sent again later: one row a booking, each ping counted once, few folders."""
+    root = S.scratch_folder(spark, "latest-test")
+    batches = [[(f"B{i % 7}", i, 10.0 + i * 0.01), (f"B{i % 3}", max(i - 2, 0), 1.0 * i)] for i in range(20)]
+    want = {}
+    sizes = []
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "booking_id string, ping_seq long, current_lat double").select(
+            "*", F.timestamp_seconds("ping_seq").alias("gps_ping_time"), F.lit(70.0).alias("current_lon"))
+        table = latest_position_table(spark, root, buckets=2, merge_every=4)  # a new writer each time, as after a failure
+        table.upsert(positions(df), i)
+        if i % 6 == 5:
+            table.upsert(positions(df), i)
+            table.upsert(positions(df), i - 4)
+        for b, seq, lat in rows:
+            n, best = want.get(b, (0, (-1, 0.0)))
+            want[b] = n + 1, max(best, (seq, lat))
+        sizes.append(sum(len(f) for _, _, f in os.walk(root)))
+    got = {r.booking_id: (r.pings, (r.ping_seq, r.lat)) for r in latest_position_table(spark, root).read().collect()}
+    assert {b: (n, best[0]) for b, (n, best) in want.items()} == {b: (n, best[0]) for b, (n, best) in got.items()}
+    assert len(os.listdir(f"{root}/delta")) < 4 + 1 and len(os.listdir(f"{root}/snapshot")) <= 2
+    assert max(sizes[12:]) <= max(sizes[:12]) + 2
+    assert latest_position_table(spark, S.scratch_folder(spark, "none")).read().count() == 0
