@@ -248,10 +248,15 @@ def slicer(df: DataFrame, dims: Sequence[str] = SLICER_DIMENSIONS, min_bookings:
     )
 
 
+def shipment_status() -> Column:
+    """Where a booking stands: ``delivered`` once its trip has ended, ``in_transit`` once it has begun, else ``planned``."""
+    return F.when(F.col("trip_end").isNotNull(), "delivered").when(F.col("trip_start").isNotNull(), "in_transit").otherwise("planned")
+
+
 def kpis_filtered(df: DataFrame, date_from: str | None = None, date_to: str | None = None,
                   customer: str | None = None, supplier: str | None = None,
-                  shipment_type: str | None = None) -> DataFrame:
-    """A1 scoped by booking date range / customer / supplier / type."""
+                  shipment_type: str | None = None, status: str | None = None) -> DataFrame:
+    """A1 scoped by booking date range / customer / supplier / type / status."""
     cond = F.lit(True)
     if date_from:
         cond = cond & (F.col("booking_date") >= F.to_timestamp(F.lit(date_from)))
@@ -263,6 +268,8 @@ def kpis_filtered(df: DataFrame, date_from: str | None = None, date_to: str | No
         cond = cond & (F.col("supplier_name") == supplier)
     if shipment_type:
         cond = cond & (F.col("shipment_type") == shipment_type)
+    if status:
+        cond = cond & (shipment_status() == status)
     return executive_kpis(df.where(cond))
 
 

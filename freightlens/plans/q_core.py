@@ -1,11 +1,16 @@
 """Registered queries: sources, cleaning and feature projections
-(S3-S5, C1-C10, F1-F21) with their SQL twins."""
+(S1-S5, C1-C10, F1-F21) with their SQL twins."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators import clean as C
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
-from ..sources.shipments import load_shipments
+from ..sources.shipments import load_shipments, read_dictionary, read_shipments
 from . import context as ctx
 from .common import rounded, ts_text
 from .oracle_sql import rnd, with_clean, with_enriched, with_raw
@@ -19,10 +24,9 @@ def _ts(c: str) -> str:
 
 
 # --- S3-S5: rename + coerce from the all-text sheet ------------------------
-def ship_rename_cast(spark, sf_dir):
-    typed = load_shipments(fixtures.shipments_source(spark, sf_dir))
+def _typed(sheet):
     return rounded(
-        typed.select(
+        load_shipments(sheet).select(
             "booking_id", ts_text("booking_date"), ts_text("gps_ping_time"), ts_text("planned_eta"),
             ts_text("actual_eta"), ts_text("trip_start"), ts_text("trip_end"), "distance_km",
             "origin_lat", "origin_lon", "dest_lat", "dest_lon", "current_lat", "current_lon",
@@ -31,6 +35,10 @@ def ship_rename_cast(spark, sf_dir):
     )
 
 
+def ship_rename_cast(spark, sf_dir):
+    return _typed(fixtures.shipments_source(spark, sf_dir))
+
+
 Q["ship_rename_cast"] = ship_rename_cast
 SQL["ship_rename_cast"] = with_raw(
     f"""SELECT booking_id, {_ts('booking_date')}, {_ts('gps_ping_time')}, {_ts('planned_eta')},
@@ -41,6 +49,32 @@ SQL["ship_rename_cast"] = with_raw(
 )
 
 
+# --- S1/S2: the sheets as files ---------------------------------------------
+def _written(df, name):
+    """``df`` as CSV files with a header, in a folder of its own."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/sheets/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    return path
+
+
+def sheet_scan(spark, sf_dir):
+    """The sheet exported with its columns in another order and one more, scanned by header."""
+    sheet = fixtures.shipments_source(spark, sf_dir).drop("_tie")
+    return _typed(read_shipments(spark, _written(sheet.select(F.lit("x").alias("Remarks"), *sorted(sheet.columns)), "shipments")))
+
+
+def dictionary_scan(spark, sf_dir):
+    """A dictionary of the parts, exported and scanned."""
+    parts = fixtures.table(spark, sf_dir, "part").select(F.col("p_name").alias("description"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("field"))
+    return read_dictionary(spark, _written(parts, "dictionary"))
+
+
+Q["sheet_scan"] = sheet_scan
+SQL["sheet_scan"] = SQL["ship_rename_cast"]
+Q["dictionary_scan"] = dictionary_scan
+SQL["dictionary_scan"] = "SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS field, p_name AS description FROM part"
+
+
 # --- C1 ----------------------------------------------------------------------
 def dedupe_bookings(spark, sf_dir):
     d = C.dedupe_bookings(ctx.raw(spark, sf_dir))

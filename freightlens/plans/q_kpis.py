@@ -113,17 +113,23 @@ SQL["slicer_grouping_sets"] = with_enriched(_slicer_parts)
 Q["kpis_filtered"] = _on_enriched(
     K.kpis_filtered, date_from="1996-01-01", date_to="1998-01-01", shipment_type="Regular"
 )
-SQL["kpis_filtered"] = with_enriched(
-    f"""SELECT count(DISTINCT booking_id) AS total_bookings,
+
+def _kpi_sql(where: str) -> str:
+    return f"""SELECT count(DISTINCT booking_id) AS total_bookings,
   CAST(coalesce(sum(is_ontime), 0) AS BIGINT) AS ontime_bookings,
   {rnd(rnd('avg(is_ontime) * 100', 2))} AS ontime_rate_pct,
   {rnd(rnd('avg(trip_days)', 2))} AS avg_trip_days,
   {rnd(rnd('avg(distance_km)', 2))} AS avg_distance_km,
   {rnd(rnd('avg(delay_hours)', 2))} AS avg_delay_hours,
   {rnd(rnd('avg(wait_hours)', 2))} AS avg_wait_hours
-FROM enriched WHERE booking_id IS NOT NULL AND booking_date >= TIMESTAMP '1996-01-01'
-  AND booking_date < TIMESTAMP '1998-01-01' AND shipment_type = 'Regular'"""
+FROM enriched WHERE booking_id IS NOT NULL AND {where}"""
+
+
+SQL["kpis_filtered"] = with_enriched(
+    _kpi_sql("booking_date >= TIMESTAMP '1996-01-01' AND booking_date < TIMESTAMP '1998-01-01' AND shipment_type = 'Regular'")
 )
+Q["kpis_in_transit"] = _on_enriched(K.kpis_filtered, status="in_transit")
+SQL["kpis_in_transit"] = with_enriched(_kpi_sql("trip_start IS NOT NULL AND trip_end IS NULL"))
 
 Q["supplier_score"] = _on_enriched(K.supplier_score, 15)
 SQL["supplier_score"] = with_enriched(

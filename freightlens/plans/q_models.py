@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ..operators import iforest as IF
 from ..operators import ml as ML
 from ..operators import mlprep as MP
+from ..operators import rules as N
 from ..operators import warehouse as W
 from . import context as ctx
 from .common import rounded
+from .q_rules import CUSTOMER_PATTERN, MATERIAL
 
 Q: dict = {}
 SQL: dict = {}
@@ -81,6 +83,15 @@ Q["rec_risk_queue"] = lambda spark, sf_dir: rounded(ML.high_risk_queue(_scored(s
 Q["rec_top_drivers"] = lambda spark, sf_dir: ML.top_drivers_text(ML.permutation_importance(driver(spark, sf_dir)))
 
 
+def recommendations_with_models(spark, sf_dir):
+    """All rules, N12 and N13 from the fitted models included."""
+    extra = [N.rec_risk(_scored(spark, sf_dir)), N.rec_drivers(ML.permutation_importance(driver(spark, sf_dir)))]
+    return rounded(N.recommendations(ctx.enriched(spark, sf_dir), CUSTOMER_PATTERN, MATERIAL, extra))
+
+
+Q["recommendations_with_models"] = recommendations_with_models
+
+
 def batch_score(spark, sf_dir):
     scored = ML.batch_score(ctx.enriched(spark, sf_dir), delay(spark, sf_dir), eta(spark, sf_dir))
     return W.fact_prediction(scored, "delay_gbt", "1")

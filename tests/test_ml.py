@@ -112,3 +112,18 @@ def test_forest_scores_equal_a_plain_walk(spark):
     assert max(got, key=lambda k: got[k][0]) == "R7"
     assert IF.route_anomalies(v.limit(0), "k", ["x", "y"], n_trees=3).count() == 0
     assert IF.route_anomalies(v.limit(1), "k", ["x", "y"], n_trees=3).count() == 1
+
+
+def test_models_learn_a_planted_target(spark):
+    """Lateness and trip time that depend on the distance alone are learnt on the training part and hold on the test part."""
+    e = ctx.enriched(spark, SF).where(F.col("distance_km").isNotNull())
+    middle = e.agg(F.percentile("distance_km", F.lit(0.6))).first()[0]
+    e = e.withColumns({"is_late": (F.col("distance_km") > middle).cast("int"), "trip_days": F.col("distance_km") / 300.0})
+    for options in ({"max_iter": 5, "max_depth": 3}, {"max_iter": 12, "algorithm": "rf"}):
+        bundle = ML.train_delay_classifier(e, **options)
+        assert bundle.metrics["test_auc"] > 0.95
+    report = {r["class"]: r for r in ML.report(ML.train_delay_classifier(e, max_iter=5, max_depth=3)).collect()}
+    assert report["accuracy"]["precision"] > 0.95 or report["1"]["recall"] > 0.9
+    eta = ML.train_eta_model(e, max_iter=20, max_depth=4)
+    mean = eta.test.agg(F.avg("trip_days")).first()[0]
+    assert eta.metrics["test_mae_days"] < 0.25 * eta.test.agg(F.avg(F.abs(F.col("trip_days") - F.lit(mean)))).first()[0]
