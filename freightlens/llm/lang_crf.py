@@ -20,8 +20,11 @@ have a column for each, so memory grows with their number.
 
 Training rows have a text, a lang and crc32(doc_id as text) modulo 4 other than 2;
 lang, source and doc_id are never features.  A text that is null or has no letter is
-``und`` with score 0; without training rows all are.  Rows are independent; columns
-besides doc_id, text and lang are not read.
+``und`` with score 0; without training rows all are.  Rows are independent: equal rows get
+equal predictions, rows with equal doc_id one each.  A null doc_id is not held out.  Languages with equal
+sums go by name, sampled rows with equal hash by doc_id and text.  Very long texts are read
+whole when they are labelled.  An empty table gives an empty result; columns besides doc_id, text and lang
+are not read.
 """
 
 from __future__ import annotations

@@ -14,6 +14,11 @@
 Labels are read from rows whose crc32(doc_id as text) modulo 5 is not 0; labels,
 lang, source and doc_id are never features.  Null and empty texts get the score of
 zero features.  A table without labels scores 0.5 everywhere.
+
+Defined cases: rows are scored one by one, so equal rows get equal scores and rows with equal
+doc_id one each; a null doc_id is not held out and has no label.  Of several labels of a doc_id the
+highest counts, null labels don't; rows with equal hash go by doc_id.  Very long texts are read whole.  An
+empty table gives an empty result; columns besides doc_id, text and the labels' doc_id and quality are not read.
 """
 
 from __future__ import annotations

@@ -250,10 +250,19 @@ def test_pipeline_messy(spark):
     import corpus_pipeline as cp
 
     for table in (messy(spark), empty(spark)):
-        docs = table
-        for _, stage in cp.STAGES:
+        docs, before = table, Counter(r.doc_id for r in table.collect())
+        for _, stage in cp.STAGES[:-1]:
             docs = stage(spark, docs, SF)
-        docs.collect()
+            rows = docs.collect()
+            left = Counter(r.doc_id for r in rows)
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert all(n <= before[i] for i, n in left.items())
+            assert all(words(r.text) for r in rows)
+            before = left
+        packed = cp.STAGES[-1][1](spark, docs, SF).collect()
+        assert {r.doc_id for r in packed} == set(before)
+        # Of the first row's near copies one stays; short, empty and null texts go; the row without an id stays.
+        assert set(before) == set() if table.isEmpty() else before[1] == 1 and not before[3] and not before[5] and not before[4] and before[None] == 1
 
 
 def test_components_in_two_goes(spark):

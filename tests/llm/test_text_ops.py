@@ -354,3 +354,37 @@ def test_kept_normalisers_change_nothing():
         assert np.allclose(model.log_probs(w1, w2, y, norms), model.log_probs(w1, w2, y), rtol=0, atol=1e-5)
     every = model.log_probs(np.full(m, 3), np.full(m, 5), np.arange(m), norms)
     assert abs(np.exp(every).sum() - 1) < 1e-4
+
+
+def test_word_vectors_and_pooling_equal_plain_loops(spark):
+    """Neighbours' index vectors summed word by word, and features text by text, in plain Python."""
+    from freightlens.llm import quality_model as qm
+    from freightlens.llm import textvec as tv
+
+    texts = [r.text for r in documents(spark).limit(25).collect()] + [None, "", " \n", "One", "a b a", "Äb 12 #x"]
+    bucket = lambda w: int(qm._bucket(tv.split_words(pa.array([w])).hash)[0])
+    lane, sign = qm._index_vectors()
+    known = {w: bucket(w) for t in texts for w in words(t)}
+    sums = np.zeros((qm.BUCKETS, qm.DIM))
+    for t in texts:
+        ws = words(t)
+        for i, w in enumerate(ws):
+            for j in range(max(0, i - qm.NEAR), min(len(ws), i + qm.NEAR + 1)):
+                if j != i:
+                    c = known[ws[j]]
+                    for k in range(2):
+                        sums[known[w], lane[k, c]] += sign[k, c]
+    want = np.sign(sums) * np.log1p(np.abs(sums))
+    want -= want.mean(0)
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    got = qm.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(got, want, atol=1e-5)
+    features = qm.pooled(pa.array(texts, pa.string()), got)
+    for t, f in zip(texts, features):
+        ws, raw = words(t), (t or "").encode()
+        n = max(len(ws), 1)
+        mean = sum((got[known[w]].astype(float) for w in ws), np.zeros(qm.DIM)) / n
+        share = lambda ok: sum(map(ok, raw)) / max(len(raw), 1)
+        upper, digit = share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57)
+        mark = share(lambda b: b < 128 and not chr(b).isalpha() and b not in (32, 9, 10, 11, 12, 13))
+        assert np.allclose(f, [*mean, *np.abs(mean), np.log1p(len(ws)) / 8, len(set(ws)) / n, min(len(raw) / n, 20) / 10, upper, digit, mark], atol=1e-4)
