@@ -101,3 +101,21 @@ def test_permutation_is_a_bijection(spark, n):
     rows = spark.range(n).select("id", MP.permuted(F.col("id"), n, 1).alias("a"), MP.permuted(F.col("id"), n, 2).alias("b")).collect()
     assert sorted(r.a for r in rows) == sorted(r.b for r in rows) == list(range(n))
     assert n < 16 or sum(r.a == r.id for r in rows) < max(8, n // 8) and [r.a for r in rows] != [r.b for r in rows]
+
+
+def test_speeds_of_pings_close_in_time_fit(spark):
+    """Two pings a microsecond and 217 km or half the globe apart: the fact and its sink hold the speeds."""
+    from freightlens.operators import gps as G
+    from freightlens.operators import warehouse as W
+
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("us"))
+    rows = [("B1", 0, 10.0, 70.0, 1), ("B1", 1, 12.0, 70.0, 2), ("B2", 0, 0.0, 0.0, 3), ("B2", 1, 0.0, 180.0, 4)]
+    pings = spark.createDataFrame(rows, "booking_id string, us long, current_lat double, current_lon double, ping_seq long")
+    pings = pings.select("booking_id", at.alias("gps_ping_time"), "current_lat", "current_lon", "ping_seq", F.lit("G0").alias("gps_provider"), at.alias("ingest_ts"))
+    path = _folder(spark, "t-speed")
+    facts = SK.ping_rows(W.fact_gps_ping(G.preprocess_trajectory(pings)), 1)
+    SK.write_pings(facts, path, 1)
+    got = {(r.booking_id, r.ping_id & 1): r.speed_kmph for r in SK.read_back(spark, path, facts, load=True).collect()}
+    speeds = [float(v) for _, v in sorted(got.items()) if v is not None]
+    assert len(got) == 4 and len(speeds) == 2
+    assert math.isclose(speeds[0], 222.38985 * 3.6e9, rel_tol=1e-5) and math.isclose(speeds[1], math.pi * 6371 * 3.6e9, rel_tol=1e-6)
