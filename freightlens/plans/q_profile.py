@@ -24,6 +24,11 @@ def _on_raw(fn):
     return lambda spark, sf_dir: rounded(fn(_raw(spark, sf_dir)))
 
 
+def _on_joined(fn):
+    """For profiles that go over few columns once: only these are joined, and no table is written."""
+    return lambda spark, sf_dir: rounded(fn(ctx.raw(spark, sf_dir)))
+
+
 def _on_enriched(fn, *a):
     return lambda spark, sf_dir: rounded(fn(ctx.enriched(spark, sf_dir), *a))
 
@@ -67,13 +72,13 @@ SQL["profile_missing"] = with_raw(
     + " FROM raw) ON COLUMNS(*) INTO NAME column_name VALUE v)"
 )
 
-Q["profile_pings"] = _on_raw(P.profile_pings)
+Q["profile_pings"] = _on_joined(P.profile_pings)
 SQL["profile_pings"] = with_raw(describe_sql("n", PINGS_SQL))
 
-Q["profile_flag_dist"] = _on_raw(P.profile_flag_dist)
+Q["profile_flag_dist"] = _on_joined(P.profile_flag_dist)
 SQL["profile_flag_dist"] = with_raw("SELECT ontime_flag, count(*) AS rows FROM raw GROUP BY ontime_flag")
 
-Q["profile_shipment_types"] = _on_raw(P.profile_shipment_types)
+Q["profile_shipment_types"] = _on_joined(P.profile_shipment_types)
 SQL["profile_shipment_types"] = with_raw(
     "SELECT shipment_type, count(*) AS rows FROM raw WHERE shipment_type IS NOT NULL GROUP BY shipment_type"
 )

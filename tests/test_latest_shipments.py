@@ -5,8 +5,11 @@ import re
 import tempfile
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from freightlens.operators.clean import dedupe_bookings
 from freightlens.plans import context as ctx
+from freightlens.plans import q_profile
 from freightlens.sources import fixtures
 
 
@@ -58,3 +61,14 @@ def test_the_log_counts_the_same_rows(spark):
     log = {r.step: r.value for r in ctx.quality(spark, at).collect()}
     raw, kept = fixtures.shipments(spark, at).count(), fixtures.latest_shipments(spark, at).count()
     assert log["dedupe_bookings"] == raw - kept > 0
+
+
+def test_profiles_of_few_columns_write_no_table_of_all(spark):
+    at = _tables(spark)
+    for name in ("profile_pings", "profile_flag_dist", "profile_shipment_types"):
+        assert q_profile.Q[name](spark, at).collect()
+    assert ctx._key(spark, at, "landed") not in ctx._FRAMES
+    dist = q_profile.Q["profile_shipment_types"](spark, at)
+    assert {r.shipment_type: r.rows for r in dist.collect()} == {r.shipment_type: r.rows for r in fixtures.shipments(spark, at).groupBy("shipment_type").agg(F.count("*").alias("rows")).collect()}
+    plan = dist._jdf.queryExecution().executedPlan().toString()
+    assert "c_name" not in plan and "l_extendedprice" not in plan
