@@ -130,6 +130,12 @@ def rec_lanes(source: DataFrame | FrameTables, route_min: int = 20, lane_min: in
                 F.col("avg_delay_hours"), F.lit(50.0))
 
 
+def lane_plans(source: DataFrame | FrameTables) -> DataFrame:
+    """N2 with the plan's title, which names the whole lane."""
+    lane = F.replace(F.col("subject"), F.lit("→"), F.lit(" to "))
+    return rec_lanes(source).withColumn("initiative", F.concat(F.lit("Lane recovery plan: "), lane))
+
+
 def rec_suppliers(source: DataFrame | FrameTables, min_n: int = 40, k: int = 3) -> DataFrame:
     """The k worst suppliers of the scorecard."""
     worst = _worst(_tables(source).segment("supplier_name", min_n), "supplier_name", k)

@@ -172,13 +172,12 @@ SQL["rec_network"] = with_enriched(
             f"(SELECT count(DISTINCT booking_id) AS n, {_PCT} AS b FROM enriched WHERE booking_id IS NOT NULL)")
 )
 
-Q["rec_lanes"] = _on(N.rec_lanes)
-SQL["rec_lanes"] = with_enriched(
-    rec_sql("N2", "P0", "lane_ontime_pct", "route_id", "total_bookings",
-            "ontime_rate_pct", "avg_delay_hours", "50.0e0",
-            f"(SELECT * FROM ({segment_sql('route_id', 20)}) WHERE total_bookings >= 25 "
-            "ORDER BY ontime_rate_pct, total_bookings DESC, route_id LIMIT 3)")
-)
+Q["rec_lanes"] = _on(N.lane_plans)
+_LANE_ROWS = rec_sql("N2", "P0", "lane_ontime_pct", "route_id", "total_bookings",
+                     "ontime_rate_pct", "avg_delay_hours", "50.0e0",
+                     f"(SELECT * FROM ({segment_sql('route_id', 20)}) WHERE total_bookings >= 25 "
+                     "ORDER BY ontime_rate_pct, total_bookings DESC, route_id LIMIT 3)")
+SQL["rec_lanes"] = with_enriched(f"SELECT *, 'Lane recovery plan: ' || replace(subject, '→', ' to ') AS initiative FROM ({_LANE_ROWS})")
 
 Q["rec_suppliers"] = _on(N.rec_suppliers)
 SQL["rec_suppliers"] = with_enriched(
@@ -263,7 +262,7 @@ SQL["rec_peak"] = with_enriched(
 Q["recommendations"] = _on(N.recommendations, CUSTOMER_PATTERN, MATERIAL)
 SQL["recommendations"] = with_enriched(
     " UNION ALL ".join(
-        f"SELECT * FROM ({SQL[k][len(with_enriched('')):]})"
+        f"SELECT * FROM ({_LANE_ROWS if k == 'rec_lanes' else SQL[k][len(with_enriched('')):]})"
         for k in ("rec_network", "rec_lanes", "rec_suppliers", "rec_customer", "rec_material", "rec_detour", "rec_haul", "rec_shipment_type",
                   "rec_idle", "rec_imputed", "rec_peak")
     )

@@ -46,3 +46,14 @@ def test_model_rules(spark):
     assert (r.rule_id, r.n, round(r.baseline_value, 6), r.comparison_value, round(r.target_value, 6)) == ("N12", 4, 66.666667, 50.0, 56.666667)
     importance = spark.createDataFrame([("a", 0.1, 0.01), ("b", 0.7, 0.0), ("c", 0.1, 0.0), ("d", 0.3, 0.2)], "feature string, importance_mean double, importance_std double")
     assert [(x.rule_id, x.subject, x.n) for x in N.rec_drivers(importance).orderBy("n").collect()] == [("N13", "b", 1), ("N13", "d", 2), ("N13", "a", 3)]
+
+
+def test_lane_plans_name_the_whole_lane(spark):
+    from freightlens.plans import q_rules
+
+    far = "→".join("x" * 40 for _ in range(2))
+    e = ctx.enriched(spark, SF).withColumn("route_id", F.when(F.col("is_ontime") == 0, far).otherwise("a→b"))
+    got = {r.subject: r.initiative for r in N.lane_plans(e).collect()}
+    assert got == {far: f"Lane recovery plan: {'x' * 40} to {'x' * 40}", "a→b": "Lane recovery plan: a to b"}
+    assert q_rules.Q["rec_lanes"](spark, SF).columns == [*N.REC_COLUMNS, "initiative"]
+    assert "Lane recovery plan" in q_rules.SQL["rec_lanes"] and "Lane recovery plan" not in q_rules.SQL["recommendations"]
