@@ -33,3 +33,14 @@ def test_view_banding_and_route_category(spark):
     rows = df.select(band_sql("d").alias("b"), route_category("d").alias("c")).collect()
     assert [r.b for r in rows] == ["0-100km", "1200km+", "100-300km", "300-600km"]
     assert [r.c for r in rows] == ["short_haul", "long_haul", "short_haul", "mid_haul"]
+
+
+def test_bands_by_label_and_ordinal_agree(spark):
+    """The label is one CASE over the distance: its expression is not repeated for each label."""
+    from freightlens.functions.columns import band_ordinal, distance_band, label_for_ordinal
+
+    rows = [(v,) for v in (None, -1.0, -0.0, 0.0, 100.0, 100.01, 300.0, 301.0, 600.0, 600.5, 1200.0, 1200.5, float("nan"), float("inf"), float("-inf"))]
+    df = spark.createDataFrame(rows, "d double").select("d", band_ordinal("d").alias("o"), distance_band("d").alias("b"))
+    got = df.select("b", label_for_ordinal("o").alias("l")).collect()
+    assert [r.b for r in got] == [r.l for r in got] and len({r.b for r in got}) == 6
+    assert str(df._jdf.queryExecution().analyzed()).count("isnan") <= 2
