@@ -1,14 +1,17 @@
 import json
 import os
+import random
 import tempfile
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from freightlens.config import PING_SCHEMA
 from freightlens.operators.gps import preprocess_trajectory
 from freightlens.streaming import pings as S
+from freightlens.streaming import trips
 from freightlens.streaming.latest import latest_position_table, positions
 
 
@@ -164,3 +167,98 @@ def test_latest_table_is_bounded_and_replayable(spark):
     assert len(os.listdir(f"{root}/delta")) < 4 + 1 and len(os.listdir(f"{root}/snapshot")) <= 2
     assert max(sizes[12:]) <= max(sizes[:12]) + 2
     assert latest_position_table(spark, S.scratch_folder(spark, "none")).read().count() == 0
+
+
+def test_fences_of_one_place_are_one(spark):
+    """However many fences share a place and radius, a ping meets one of them, the least id."""
+    fences = spark.createDataFrame([(f"F{i:03d}", 10.0, 70.0, 3.0) for i in range(1, 200)] + [("A-WIDE", 10.0, 70.0, 9.0)], "fence_id string, lat double, lon double, radius_km double")
+    pings = spark.createDataFrame([("A", 10.0, 70.0), ("B", 10.05, 70.0), ("C", 11.0, 70.0)], "booking_id string, current_lat double, current_lon double")
+    got = sorted((r.booking_id, r.fence_id) for r in S.near_fences(pings, fences).where("fence_id IS NOT NULL").collect())
+    assert got == [("A", "A-WIDE"), ("A", "F001"), ("B", "A-WIDE")]
+
+
+class _State:
+    """A list or value state that counts its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.rows = None
+
+    def exists(self):
+        return self.rows is not None
+
+    def get(self):
+        _State.calls += 1
+        return self.rows
+
+    def put(self, rows):
+        _State.calls += 1
+        self.rows = list(rows)
+
+    update = put
+
+    def appendValue(self, row):
+        self.put([*(self.rows or []), row])
+
+    def clear(self):
+        _State.calls += 1
+        self.rows = None
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getListState(self, name, schema):
+        return _State()
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        _State.calls += 1
+        self.timers.add(ms)
+
+
+class _Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_bucket_is_one_state(monkeypatch):
+    """400 bookings of a bucket, over batches, with equal times, several fences a ping and silences: as one by one, with few calls."""
+    monkeypatch.setattr(_State, "calls", 0)
+    monkeypatch.setattr(trips, "CHUNK", 100)
+    rng, hour, expire = random.Random(5), 3_600_000_000, 30 * 3_600_000_000
+    op, handle, out, sent = trips.InOrder(expire), _Handle(), [], []
+    op.init(handle)
+    for batch in range(6):
+        low = batch * 20 * hour
+        rows = []
+        for i in range(400):
+            for _ in range(rng.randint(0, 3)):
+                us = low + rng.randint(1, 22) * hour + rng.choice([0, 1, 999])
+                for f, km in rng.choice([[(None, None)], [("F", 2.0), (None, None), ("E", 2.0), ("G", 3.0)]]):
+                    rows.append((f"B{i}", us, rng.choice([-7, 1 << 62]) if f is None and km is None else 5, rng.choice([None, 1.0, 2.5]), 70.0, f, km))
+        sent += rows
+        list(op.handleInputRows((1,), iter([pd.DataFrame(rows, columns=trips._PING.names)]), None))
+        mark = (low + 20 * hour) // 1000
+        for t in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(t)
+            for df in op.handleExpiredTimer((1,), _Mark(mark), None):
+                out += df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)
+    want = []
+    for b in sorted({r[0] for r in sent}):
+        last, seen = None, set()
+        for r in sorted((r for r in sent if r[0] == b and r[1] <= 120 * hour), key=lambda r: (r[1], r[2], r[6] is None, r[6] or 0.0, r[5] or "")):
+            if r[1:3] in seen:
+                continue
+            seen.add(r[1:3])
+            old = last if last is not None and r[1] - last[1] <= expire else (None,) * 7
+            want.append((*r[:3], r[4], r[5], old[1], old[5]))
+            last = r
+    assert sorted(((*r[:3], *r[4:7], r[9]) for r in out), key=lambda r: r[:3]) == sorted(want, key=lambda r: r[:3])
+    assert any(r[6] == "E" for r in want) and sum(r[5] is None for r in want) > 400 and _State.calls < 500
