@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from freightlens.operators import mlprep as MP
 from freightlens.operators import sinks as SK
+from freightlens.plans import q_sinks
 from freightlens.plans.q_sinks import _folder
 
 
@@ -119,3 +120,21 @@ def test_speeds_of_pings_close_in_time_fit(spark):
     speeds = [float(v) for _, v in sorted(got.items()) if v is not None]
     assert len(got) == 4 and len(speeds) == 2
     assert math.isclose(speeds[0], 222.38985 * 3.6e9, rel_tol=1e-5) and math.isclose(speeds[1], math.pi * 6371 * 3.6e9, rel_tol=1e-6)
+
+
+def test_shipment_loads_read_the_joined_facts_once(spark, monkeypatch):
+    """Both loads rank and write a table of facts; the joins with the dimensions aren't run again for each."""
+    seen = []
+
+    def facts(enriched, dims):
+        keys = spark.createDataFrame([(f"B{i}", f"199{5 + i % 2}-0{1 + i % 9}") for i in range(20)], "booking_id string, booking_month string")
+        return keys.join(keys.select("booking_id", F.lit("1996-01-01").cast("timestamp").alias("booking_ts")).hint("merge"), "booking_id")
+
+    real = SK.shipment_rows
+    monkeypatch.setattr(q_sinks.ctx, "enriched", lambda *a: None)
+    monkeypatch.setattr(q_sinks.ctx, "dimensions", lambda *a: None)
+    monkeypatch.setattr(q_sinks.W, "fact_shipment", facts)
+    monkeypatch.setattr(q_sinks.SK, "shipment_rows", lambda rows, *a: seen.append(rows) or real(rows, *a))
+    got = q_sinks.fact_shipment_sink(spark, "none").collect()
+    assert len(seen) == 2 and not any("Join" in r._jdf.queryExecution().optimizedPlan().toString() for r in seen)
+    assert sorted((r.booking_id, r.shipment_id >> 40) for r in got) == sorted((f"B{i}", 1 + i % 2) for i in range(20))
