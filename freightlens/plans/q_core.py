@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, lean_shuffles, materialize
 from ..sources import fixtures
 from ..sources.shipments import load_shipments, read_dictionary, read_shipments
 from . import context as ctx
@@ -50,10 +50,15 @@ SQL["ship_rename_cast"] = with_raw(
 
 
 # --- S1/S2: the sheets as files ---------------------------------------------
+RECORDS_PER_FILE = 1_000_000
+
+
 def _written(df, name):
-    """``df`` as CSV files with a header, in a folder of its own."""
+    """``df`` as compressed CSV files with a header, in a folder of its own; a file is read by one task, so it has an end."""
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/sheets/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+    sheet = df.write.option("header", "true").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+    with lean_shuffles(df):
+        sheet.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).csv(path)
     return path
 
 
@@ -76,8 +81,15 @@ SQL["dictionary_scan"] = "SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS field,
 
 
 # --- C1 ----------------------------------------------------------------------
+def _deduped(spark, sf_dir, *columns):
+    """C1 on the landed sheet; only the columns asked for and those that choose the row are dealt out by booking."""
+    needed = dict.fromkeys([*columns, "booking_id", "actual_eta", "gps_ping_time", "trip_start", "_tie"])
+    return materialize(C.dedupe_bookings(ctx.landed(spark, sf_dir).select(*needed)).select(*columns), "deduped")
+
+
 def dedupe_bookings(spark, sf_dir):
-    d = C.dedupe_bookings(ctx.raw(spark, sf_dir))
+    d = _deduped(spark, sf_dir, "booking_id", "gps_ping_time", "actual_eta", "trip_start", "distance_km", "supplier_name",
+                 "material_shipped", "vehicle_type", "ontime_flag")
     return rounded(
         d.select("booking_id", ts_text("gps_ping_time"), ts_text("actual_eta"), ts_text("trip_start"),
                  "distance_km", "supplier_name", "material_shipped", "vehicle_type", "ontime_flag")
@@ -106,9 +118,7 @@ SQL["distance_band"] = with_clean(f"SELECT booking_id, {rnd('distance_km')} AS d
 
 # --- C5 ----------------------------------------------------------------------
 def mode_by_band(spark, sf_dir):
-    d = C.dedupe_bookings(ctx.raw(spark, sf_dir)).withColumn(
-        "distance_band", C.distance_band("distance_km")
-    )
+    d = _deduped(spark, sf_dir, "distance_km", "vehicle_type").withColumn("distance_band", C.distance_band("distance_km"))
     return C.vehicle_mode_by_band(d).withColumnRenamed("_band_vehicle", "mode_vehicle_type")
 
 
