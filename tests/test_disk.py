@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from freightlens.operators.clean import dedupe_bookings
 from freightlens.operators.dedupe import keep_first
+from freightlens.operators.sinks import append_load, restate
 from freightlens.plans import q_core
 from freightlens.session import input_bytes, lean_shuffles, materialize
 from shipment_rows import shipments
@@ -25,6 +26,15 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_sinks_leave_no_shuffle_files(spark):
+    df = spark.range(500).select(F.col("id").cast("string").alias("booking_id"), (F.col("id") % 3).cast("string").alias("month"))
+    path, before = f"{spark.conf.get('spark.checkpoint.dir')}/lean-sink", shuffle_files(spark)
+    restate(df, path, "month", ["booking_id"])
+    append_load(df, f"{path}-loads", 1, "month", ["booking_id"])
+    assert not shuffle_files(spark) - before
+    assert spark.read.parquet(path).count() == spark.read.parquet(f"{path}-loads").count() == 500
+
+
 def test_partitions_follow_the_input_and_settings_come_back(spark, monkeypatch):
     df = spark.range(100_000)
     path = f"{spark.conf.get('spark.checkpoint.dir')}/lean-input"
